@@ -5,6 +5,7 @@ from __future__ import annotations
 from folio.llm.bpe import op2_bpe
 from folio.llm.decontaminate import op1_decontaminate
 from folio.llm.langid import op3_language_id
+from folio.llm.ngram_join import op6_ngram_join
 from folio.llm.pii import op9_pii
 from folio.llm.sharding import op10_sharding
 from folio.llm.toxicity import op7_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
+    "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op9_pii": op9_pii,
     "op10_sharding": op10_sharding,
