@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folio.llm.bpe import op2_bpe
 from folio.llm.decontaminate import op1_decontaminate
+from folio.llm.embedding_dedup import op5_embedding_dedup
 from folio.llm.langid import op3_language_id
 from folio.llm.ngram_join import op6_ngram_join
 from folio.llm.pii import op9_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op9_pii": op9_pii,
