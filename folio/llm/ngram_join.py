@@ -38,6 +38,9 @@ LOWEST, FREQUENT, PART = 6, 200_000, 4096
 #: Bytes of postings that a bucket should hold.
 BUCKET_BYTES = 12_000_000
 
+#: Bytes of text that are hashed at once.
+CHUNK = 1 << 18
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -84,7 +87,7 @@ def sets(texts: list[str | None]) -> list[np.ndarray]:
     while at < len(texts):
         raw: list[bytes] = []
         size = 0
-        while at + len(raw) < len(texts) and (not raw or size < 1 << 21):
+        while at + len(raw) < len(texts) and (not raw or size < CHUNK):
             raw.append((texts[at + len(raw)] or "").encode("utf-8", "surrogatepass").translate(LOWER))
             size += len(raw[-1])
         words, starts = word_hashes(b" ".join(raw))
