@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.session import ship
+
 #: Rows in an Arrow batch of whole texts: bounds a Python worker's memory, long texts included.
 TEXT_BATCH = 1000
 
@@ -20,7 +22,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Session settings that every operator relies on; none depends on the data."""
+    """What every operator relies on: the package on the executors, and settings that do not depend on the data."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
