@@ -30,8 +30,8 @@ from folio.llm.common import arrow_append, load, materialize, tune
 #: The documented bounds of what is fitted: training rows of each label, and stems.
 SAMPLE_TOXIC, SAMPLE_CLEAN, STEMS, CANDIDATES = 2000, 6000, 400, 4000
 #: Least log odds of a stem, and least likelihood ratio (G squared) against chance.
-#: A stem also needs this part of the best stem's ratio: words of one copied text stay out.
-ODDS, RATIO, PART_OF_BEST = 3.0, 16.0, 0.06
+#: A stem also needs these parts of the best ratio and odds: words of one copied text, and parts of harmless words, stay out.
+ODDS, RATIO, RATIO_OF_BEST, ODDS_OF_BEST = 3.0, 16.0, 0.06, 0.7
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 SHORTEST, LONGEST = 3, 6
@@ -245,8 +245,8 @@ def candidates(sample: DataFrame) -> list[tuple[str, float, int]]:
     scored = counted.where("fragment <> '' and toxic >= 2").withColumn("odds", F.log((a + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1))).withColumn("ratio", 2 * (term(a, n1) + term(c, n0)))
     best = scored.where((F.col("odds") >= ODDS) & (F.col("ratio") >= RATIO)).orderBy(F.desc("ratio"), F.desc("odds"), "fragment").limit(CANDIDATES)
     rows = best.collect()
-    least = PART_OF_BEST * rows[0]["ratio"] if rows else 0.0
-    return [(r["fragment"], float(r["odds"]), int(r["toxic"])) for r in rows if r["ratio"] >= least]
+    ratio, odds = (max((r[c] for r in rows), default=0.0) for c in ("ratio", "odds"))
+    return [(r["fragment"], float(r["odds"]), int(r["toxic"])) for r in rows if r["ratio"] >= RATIO_OF_BEST * ratio and r["odds"] >= ODDS_OF_BEST * odds]
 
 
 def choose(words: list[tuple[str, int]], found: dict[str, float]) -> dict[str, float]:
