@@ -61,6 +61,10 @@ def in_list(token: Column, words: str) -> Column:
     return token.isin(words.split())
 
 
+def without(tokens: Column, words: str) -> Column:
+    return F.filter(tokens, lambda t: ~in_list(t, words))
+
+
 def term_tokens(text: Column) -> Column:
     """Tokens for weighing: lower case, runs of a-z and apostrophes, three characters or more, no stopwords."""
     return F.filter(F.split(F.lower(text), "[^a-z']+"), lambda t: (F.length(t) >= 3) & ~in_list(t, TERM_STOPWORDS))
@@ -79,10 +83,10 @@ def language_tokens(text: Column, lang: Column) -> Column:
     known = F.when(lang.isin("en", "fr", "de", "ang", "es", "sa", "ur", "kaw", "la"), lang).otherwise(F.raise_error(F.concat(F.lit("unknown language: "), F.coalesce(lang, F.lit("null")))))
     clean = F.lower(F.regexp_replace(text, r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]", " "))
     parts = F.filter(F.split(clean, "[\\s\\x{A0},.;:()\\[\\]{}<>\"'!?\\x{2014}\\x{2013}\\x{2026}\\x{201C}\\x{201D}\\x{2018}\\x{2019}]+"), lambda t: F.length(t) >= 3)
-    kept = F.lit(None)
+    kept = F.when(F.lit(False), parts)
     for code, words in TOKEN_STOPWORDS.items():
-        kept = F.when(known == code, F.filter(parts, lambda t, w=words: ~in_list(t, w))).otherwise(kept) if code != "en" else F.when(known == code, F.filter(parts, lambda t, w=words: ~in_list(t, w)))
-    return F.coalesce(kept, F.when(known.isNotNull(), parts))
+        kept = kept.when(known == code, without(parts, words))
+    return kept.when(known.isNotNull(), parts)
 
 
 def ngrams(tokens: Column, n: int) -> Column:

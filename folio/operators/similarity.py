@@ -32,26 +32,11 @@ def norms(w: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(w: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """(a, b, cosine), a < b, of at least `least`.
+    """(a, b, cosine), a < b, of at least `least`: a join on the term and one sum for each pair that shares one.
 
-    Weights are scaled to unit length first, so a pair's cosine is one sum. A document's terms are taken from the rarest
-    on until the rest of its vector is shorter than `least`: two documents that share none of these cannot reach it, so
-    only they are joined to all terms of a posting list (prefix filter). Long lists thus stay out of one side of the join.
+    Weights are scaled to unit length first, and terms of one document, which cannot link, stay out of the join. Rows grow
+    with the squares of the posting lists: stopwords keep these short, and adaptive execution splits the longest.
     """
-    unit = w.join(norms(w), "doc_id").select("doc_id", "term", "df", (F.col("w") / F.col("norm")).alias("u"))
-    shared = unit.where("df > 1")
-    tail = Window.partitionBy("doc_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = shared.withColumn("rest", F.sum(F.col("u") * F.col("u")).over(tail)).where(F.col("rest") >= least * least * 0.999999)
-    near = prefix.select(F.col("doc_id").alias("a"), "term").join(shared.select(F.col("doc_id").alias("b"), "term"), "term").where("a <> b")
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    vectors = shared.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("v"))
-    met = pairs.join(vectors.select(F.col("doc_id").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("doc_id").alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)))
-    return met.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= least)
-
-
-def all_cosine_pairs(w: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """The same by a join on the term and one sum for each pair: cheaper while posting lists are short or most pairs link."""
     unit = w.where("df > 1").join(norms(w), "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("u"))
     a, b = unit.select(F.col("doc_id").alias("a"), "term", F.col("u").alias("ua")), unit.select(F.col("doc_id").alias("b"), "term", F.col("u").alias("ub"))
     return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine")).where(F.col("cosine") >= least)
@@ -60,7 +45,7 @@ def all_cosine_pairs(w: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 def cross_links(docs: DataFrame, least: float = LEAST_COSINE, top: int = LINKS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(doc_id, rank, target, score): each document's nearest, ties by the smaller id; short documents neither link nor count."""
     kept = tokenized(docs).where(F.size("tokens") >= least_tokens)
-    pairs = all_cosine_pairs(weights(kept), least)
+    pairs = cosine_pairs(weights(kept), least)
     both = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("target"), "cosine").unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("target"), "cosine"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("cosine", 10)), "target"))
     return both.withColumn("rank", rank).where(F.col("rank") <= top).select("doc_id", "rank", "target", tx.round_half_up(F.col("cosine")).alias("score"))
