@@ -126,7 +126,7 @@ FOLDED = dict(zip("áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂ
 def slugify(text: Column) -> Column:
     """Lower-case ASCII words joined by dashes, at most 64 characters, cut at a dash beyond the 32nd if there is one."""
     s = F.translate(text, "".join(FOLDED), "".join(FOLDED.values()))
-    for a, b in (("ß", "ss"), ("(?i)æ", "ae"), ("(?i)œ", "oe"), ("(?i)ð", "d"), ("(?i)þ", "th")):
+    for a, b in (("ß", "ss"), ("[æÆ]", "ae"), ("[œŒ]", "oe"), ("[ðÐ]", "d"), ("[þÞ]", "th")):
         s = F.regexp_replace(s, a, b)
     s = F.regexp_replace(F.regexp_replace(F.lower(s), "['\"`]", ""), "[^a-z0-9]+", "-")
     s = F.regexp_replace(s, "^-+|-+$", "")
