@@ -11,8 +11,8 @@ def citation_url(work: Column, chapter: Column, variant: Column, ids: Column) ->
     part = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
     base = F.concat(F.lit("/works/"), part(work), F.lit("/"), part(chapter), F.lit("/"), part(variant), F.lit("/"))
     good = F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda i: i.startswith("p-"))
-    many = F.concat(base, F.lit("?paragraphs="), F.array_join(F.transform(good, part), ","), F.lit("#"), F.element_at(good, 1))
-    return F.when(F.size(good) == 0, base).when(F.size(good) == 1, F.concat(base, F.lit("#"), F.element_at(good, 1))).otherwise(many)
+    many = F.concat(base, F.lit("?paragraphs="), F.array_join(F.transform(good, part), ","), F.lit("#"), F.get(good, F.lit(0)))
+    return F.when(F.size(good) == 0, base).when(F.size(good) == 1, F.concat(base, F.lit("#"), F.get(good, F.lit(0)))).otherwise(many)
 
 
 def parsed_url(url: Column) -> Column:

@@ -37,7 +37,7 @@ def pass_by_citations(cited: Column, expected: Column) -> Column:
 def longest_part(slug: Column) -> Column:
     """A slug's longest word of more than three letters that is no id; the first of equals; null without one."""
     parts = F.filter(F.split(F.regexp_replace(slug, "^unknown-", ""), "-"), lambda p: (F.length(p) > 3) & ~p.rlike("^[0-9a-f]{6}$"))
-    return F.element_at(F.filter(parts, lambda p: F.length(p) == F.array_max(F.transform(parts, F.length))), 1)
+    return F.get(F.filter(parts, lambda p: F.length(p) == F.array_max(F.transform(parts, F.length))), F.lit(0))
 
 
 def named_in(answer: Column, slug: Column) -> Column:
@@ -99,7 +99,7 @@ def glob(name: Column, pattern: str) -> Column:
 def last_json(text: Column) -> Column:
     """The last fenced JSON block of a text; null without one."""
     found = F.regexp_extract_all(text, F.lit(r"```json\s*\n((?s:.*?))```"), F.lit(1))
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.when(F.size(found) > 0, F.try_element_at(found, F.lit(-1)))
 
 
 def answer_json(text: Column) -> Column:

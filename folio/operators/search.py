@@ -22,7 +22,7 @@ def literal_hits(docs: DataFrame, needle: Column, lang: str | None = "en", ignor
     hay, n = (F.lower("text"), F.lower(needle)) if ignore_case else (F.col("text"), needle)
     d = d.where(F.contains(hay, n) & (F.length(n) > 0)).select("doc_id", "source", "text", F.explode(tx.offsets_of(hay, n)).alias("offset"), F.length(n).alias("size"))
     parts = tx.with_offsets(tx.paragraphs(F.col("text"), "\n"))
-    inside = F.element_at(F.filter(parts, lambda p: (p["offset"] <= F.col("offset")) & (F.col("offset") < p["offset"] + F.length(p["text"]) + 2)), 1)
+    inside = F.get(F.filter(parts, lambda p: (p["offset"] <= F.col("offset")) & (F.col("offset") < p["offset"] + F.length(p["text"]) + 2)), F.lit(0))
     return d.select("doc_id", "source", "offset", tx.snippet(F.col("text"), F.col("offset"), F.col("size")).alias("snippet"), F.when(inside.isNotNull(), tx.paragraph_id(inside["text"])).alias("paragraph_id"))
 
 

@@ -57,7 +57,7 @@ def needles(spark: SparkSession, sf: str) -> DataFrame:
     """Whole benchmark passages inside documents: met by their first three words, then compared as literals."""
     key = lambda t: F.explode(F.array_distinct(tx.ngrams(F.filter(F.split(F.lower(t), "[^\\p{L}]+"), lambda w: w != ""), 3)))
     b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("needle"))
-    b = b.withColumn("head", F.element_at(tx.ngrams(F.slice(F.filter(F.split("needle", "[^\\p{L}]+"), lambda w: w != ""), 2, 3), 3), 1))
+    b = b.withColumn("head", F.get(tx.ngrams(F.slice(F.filter(F.split("needle", "[^\\p{L}]+"), lambda w: w != ""), 2, 3), 3), F.lit(0)))
     d = documents(spark, sf).select("doc_id", "text")
     pairs = d.select("doc_id", key(F.col("text")).alias("head")).join(F.broadcast(b.select("item_id", "head")), "head").select("item_id", "doc_id").distinct()
     return pairs.join(d, "doc_id").join(F.broadcast(b.select("item_id", "needle")), "item_id").where(F.contains(F.lower("text"), F.col("needle"))).select("item_id", "doc_id")

@@ -192,7 +192,7 @@ def patch(spark: SparkSession, sf: str) -> DataFrame:
     return written(spark, sf).select("doc_id", ingest.patched_header(F.col("raw"), {"title": "new", "checked": "true"}).alias("raw"))
 
 
-@query("o122_cleaned", "SELECT doc_id, substring(text, 1, 100) AS body FROM documents WHERE doc_id % 10 = 1 AND trim(substring(text, 1, 100)) = substring(text, 1, 100)")
+@query("o122_cleaned", "SELECT doc_id, regexp_replace(substring(text, 1, 100), '\\s+$', '') AS body FROM documents WHERE doc_id % 10 = 1 AND trim(substring(text, 1, 100)) = substring(text, 1, 100)")
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).where("doc_id % 10 = 1 and trim(substring(text, 1, 100)) = substring(text, 1, 100)")
     raw = F.concat(F.lit("Source: http://x.org/a\nLines: 3\n---\n"), F.substring("text", 1, 100), F.lit("\n ---- "))
