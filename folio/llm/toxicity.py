@@ -196,13 +196,17 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic): the bounded sample of distinct training texts, chosen by a hash of the text."""
-    rows = docs.select("doc_id", "text").where(~held_out() & F.col("text").isNotNull()).join(labels.select("doc_id", "toxic").where("toxic in (0, 1)"), "doc_id")
-    rows = rows.select("text", "toxic", F.xxhash64("text").alias("_h"))
+    """(text, toxic): the bounded sample of distinct training texts.
+
+    Rows are chosen from the labels alone, by a hash of the id, so the few chosen ids are broadcast and no text is moved
+    but the sample's.
+    """
+    rows = labels.select("doc_id", "toxic").where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).distinct()
     counts = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    u = F.pmod(F.xxhash64("_h", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     share = lambda label, most: most / max(1, counts.get(label, 0))
-    return rows.where(F.when(F.col("toxic") == 1, u < share(1, SAMPLE_TOXIC)).otherwise(u < share(0, SAMPLE_CLEAN))).select("text", "toxic").distinct()
+    chosen = rows.where(F.when(F.col("toxic") == 1, u < share(1, SAMPLE_TOXIC)).otherwise(u < share(0, SAMPLE_CLEAN))).limit(2 * (SAMPLE_TOXIC + SAMPLE_CLEAN))
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()
 
 
 def candidates(sample: DataFrame) -> list[tuple[str, float, int]]:
