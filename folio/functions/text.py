@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from folio.functions.words import AUDIT_STOPWORDS, QUERY_STOPWORDS, TERM_STOPWORDS, TOKEN_STOPWORDS
 
@@ -90,10 +91,18 @@ def language_tokens(text: Column, lang: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Sliding runs of n tokens, joined by blanks; none if n < 1 or n exceeds their number."""
+    """Sliding runs of n tokens, joined by blanks; none if n < 1 or n exceeds their number.
+
+    Shifted slices are zipped, so `tokens` is evaluated a few times for a row, not once for each run.
+    """
+    none = F.array().cast("array<string>")
     if n < 1:
-        return F.array().cast("array<string>")
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return none
+    runs = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, 1, runs)
+    for j in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, j + 1, runs), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(tokens) >= n, out).otherwise(none)
 
 
 def query_tokens(query: Column) -> Column:
@@ -148,7 +157,7 @@ def work_slug(author: Column, title: Column, uuid: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), "-")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without marks, lower case; no built-in decomposes."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c)[0] != "M").lower())
