@@ -43,7 +43,10 @@ DIGIT = re.compile(r"[0-9]")
 NUMBER_RUN = re.compile(r"(?<!\w)(?:(?:%s)(?:[ -]|(?!\w))){4,}" % "|".join(sorted(DIGITS, key=len, reverse=True)), re.I)
 NUMBER_WORD = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(sorted(DIGITS, key=len, reverse=True)), re.I)
 BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|punto|arroba|punkt|point)\s*[\])}>]\s*", re.I)
-SPACED = re.compile(r"(?<=[A-Za-z0-9_%+-])[ \t]+(at|dot)[ \t]+(?=[A-Za-z0-9])", re.I)
+# The endings that a bare "dot" must lead to.
+ENDINGS = "com org net edu gov mil int info io co biz me tv dev app ai eu uk de fr es it nl ch at be pl us ca au jp cn in br mx".split()
+SPACED = re.compile(r"(?<=[A-Za-z0-9_%%+-])[ \t]+at[ \t]+[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9-]+)*?[ \t]+dot[ \t]+(?:%s)(?![A-Za-z0-9-])" % "|".join(ENDINGS), re.I)
+BARE = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I)
 SYMBOL = {"at": "@", "arroba": "@", "dot": ".", "punto": ".", "punkt": ".", "point": "."}
 TRIGGER = re.compile(r"[\[({<]\s*(?:at|dot|punto|arroba|punkt|point)\s*[\])}>]|[ \t]dot[ \t]|[Ͱ-ϿЀ-ԯ！-～\U0001d400-\U0001d7ff]", re.I)
 
@@ -129,17 +132,12 @@ def spelled_digits(t: Tape) -> None:
 
 
 def at_and_dot(t: Tape) -> None:
-    """Brackets always disguise; bare words only where a "dot" follows the "at" within one address."""
+    """Brackets always disguise; bare words only where "at" is followed by names, a "dot" between them, up to a known ending."""
     t.rewrite([(m.start(), m.end(), SYMBOL[m.group(1).lower()]) for m in BRACKETED.finditer(t.text)])
-    found, edits = list(SPACED.finditer(t.text)), []
-    for k, m in enumerate(found):
-        if m.group(1).lower() == "at":
-            after = found[k + 1] if k + 1 < len(found) else None
-            dotted = after is not None and after.group(1).lower() == "dot" and re.fullmatch(r"[A-Za-z0-9-]+", t.text[m.end() : after.start()])
-            if dotted or re.match(r"[A-Za-z0-9-]+\.[A-Za-z]{2,}(?![\w])", t.text[m.end() : m.end() + 80]) and TRIGGER.search(t.text[max(0, m.start() - 40) : m.end() + 80]):
-                edits.append((m.start(), m.end(), "@"))
-        elif edits and edits[-1][1] <= m.start() and re.fullmatch(r"[A-Za-z0-9.-]+", t.text[edits[-1][1] : m.start()]):
-            edits.append((m.start(), m.end(), "."))
+    edits = []
+    for m in SPACED.finditer(t.text):
+        words = list(BARE.finditer(t.text, m.start(), m.end()))
+        edits += [(w.start(), w.end(), "@" if k == 0 else ".") for k, w in enumerate(words) if k == 0 or w.group(1).lower() == "dot"]
     t.rewrite(edits)
 
 
