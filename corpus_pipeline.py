@@ -71,9 +71,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, ids_sha256, decoded_sha256: each whole text as tokens, with digests of ids and decoding."""
     tune(spark)
-    path = bpe.default_vocabulary()
-    tokens = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
-    return bpe.digest(tokens, path, keep=["doc_id", "lang", "source", "ids"])
+    return bpe.digest(docs.select("doc_id", "lang", "source", "text"), bpe.default_vocabulary(), keep=["doc_id", "lang", "source"], out="ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

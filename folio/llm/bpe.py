@@ -19,13 +19,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from folio.llm.common import arrow_append, load, tune
+from folio.llm.common import arrow_append, load, take_cache, tune
 
 #: The split of byte-level vocabularies of this family, as their description gives it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 NONE = np.int64(1) << 60
-#: Encoded words that a Python worker keeps, and cells of an array in the tree: both bound memory only.
-CACHE_WORDS, CELLS = 600_000, 1 << 16
+#: Encoded words of a generation of a Python worker's cache (it keeps two), and cells of an array in the tree: both bound memory only.
+CACHE_WORDS, CELLS = 150_000, 1 << 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,9 +52,13 @@ class ByteBpe:
         self.pair_keys, self.pair_ranks = keys[order], order
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.cache: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         known = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)]
         self.flat, self.starts = np.frombuffer(b"".join(known), np.uint8), np.cumsum([0, *map(len, known)])
 
+    def forget(self) -> None:
+        self.cache, self.older = {}, {}
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
@@ -138,10 +142,11 @@ class ByteBpe:
 
     def learn(self, chunks: set[str]) -> dict[str, bytes | None]:
         """The packed ids of chunks, which go to the cache; None for a chunk that depends on what stands around it."""
-        sure = [c for c in chunks if len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
+        known = {c: x for c in chunks if (x := self.older.get(c)) is not None}
+        sure = [c for c in chunks if c not in known and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
         split = {c: self.pieces(c) for c in sure}
         ids = self.encode_words(list({w for words in split.values() for w in words}))
-        out: dict[str, bytes | None] = dict.fromkeys(chunks)
+        out: dict[str, bytes | None] = dict.fromkeys(chunks) | known
         for c, words in split.items():
             out[c] = ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words])
         self.cache.update(out)
@@ -153,6 +158,7 @@ class ByteBpe:
         A blank belongs to the word after it, so a text may be cut before each blank that stands between two characters
         that are no white space: such chunks are encoded once and kept. A text with other cuts is encoded as one.
         """
+        take_cache("bpe", self.forget)
         out: list[np.ndarray] = []
         cut = not any(" " in x for x in self.special)
         at = 0
@@ -162,7 +168,7 @@ class ByteBpe:
                 size += len(texts[end] or "")
                 end += 1
             if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
+                self.cache, self.older = {}, self.cache
             split: list[list[str] | None] = []
             for t in texts[at:end]:
                 if not t:
@@ -221,16 +227,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
     return arrow_append(df, T.StructType([T.StructField(out, T.StringType())]), lambda c: {out: [None if x is None else tokenizer(path).decode(np.array(x, np.int64)) for x in c[0].to_pylist()]}, [ids], keep)
 
 
-def digest(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Appends the number of tokens, a digest of the ids and a digest of what they decode to."""
+def digest(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, out: str | None = None) -> DataFrame:
+    """Appends the number of tokens, a digest of the ids and one of what they decode to; the ids as well if `out` names them."""
 
     def run(columns: list[pa.Array]) -> dict:
         t = tokenizer(path)
         ids = t.encode_batch(columns[0].to_pylist())
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        return {"n_tokens": [len(x) for x in ids], "ids_sha256": [sha(x.astype("<u4").tobytes()) for x in ids], "decoded_sha256": [sha(t.decode(x).encode()) for x in ids]}
-
-    return arrow_append(df, DIGEST, run, [text], keep)
+        got = {"n_tokens": [len(x) for x in ids], "ids_sha256": [sha(x.astype("<u4").tobytes()) for x in ids], "decoded_sha256": [sha(t.decode(x).encode()) for x in ids]}
+        if out is not None:
+            ends = np.cumsum([0, *map(len, ids)])
+            got[out] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32()))
+        return got
+
+    fields = [] if out is None else [T.StructField(out, T.ArrayType(T.IntegerType(), False))]
+    return arrow_append(df, T.StructType(fields + list(DIGEST.fields)), run, [text], keep)
 
 
 def default_vocabulary() -> str:

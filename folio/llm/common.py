@@ -40,6 +40,21 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def take_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Called by an operator's code in a Python worker before it fills its cache: those of others are emptied.
+
+    Workers are kept from stage to stage, so their memory is that of the largest cache, not of all.
+    """
+    if owner not in _caches:
+        for other in _caches.values():
+            other()
+        _caches.clear()
+        _caches[owner] = clear
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: lineage is cut, and any executor can be lost."""
     spark = df.sparkSession

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import arrow_append, load, tune
+from folio.llm.common import arrow_append, load, take_cache, tune
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows of the training sample, for all languages together: the documented bound of what is fitted.
 SAMPLE_ROWS = 3000
 #: Training sequences, and words in each.
 SEQUENCES, LENGTH = 2400, 32
-HASH_BITS, LEXICON, BLOCK, KNOWN_WORDS = 16, 4000, 64, 400_000
+HASH_BITS, LEXICON, BLOCK, KNOWN_WORDS = 16, 4000, 64, 250_000
 
 
 def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
@@ -102,10 +102,14 @@ class Field:
             at = end
         return out
 
+    def forget(self) -> None:
+        self.known, self.table = {}, np.empty((0, len(self.labels)))
+
     def numbers(self, words: list[str]) -> np.ndarray:
         """Rows of self.table for words; the table is kept between calls, up to a bound."""
+        take_cache("langid", self.forget)
         if self.table is None or len(self.known) > KNOWN_WORDS:
-            self.known, self.table = {}, np.empty((0, len(self.labels)))
+            self.forget()
         new = list(set(words).difference(self.known))
         if new:
             base = len(self.known)
