@@ -60,7 +60,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/folio-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize has written and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_folio_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def arrow_append(df: DataFrame, schema: T.StructType, fn: Callable[[list[pa.Array]], dict], inputs: list[str], keep: list[str] | None = None) -> DataFrame:

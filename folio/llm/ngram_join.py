@@ -4,15 +4,19 @@ Two sets x and y of similarity 3/4 share at least T = ceil(3/4 |x|) of x's shing
 lists: the T - 1 longest need no merging, since a partner must occur in one of the others. So
 
 1.  every document's set is hashed from its whole text; equal sets become one representative;
-2.  representatives that share one of their lowest hashes are compared with the least of them (linear in the lists), and
-    linked ones joined into components, so a large group of near copies never spells out its pairs;
+2.  representatives that share STAR of their LOWEST lowest hashes with the least one of a list are compared with it (linear
+    in the lists), and linked ones joined into components, so a large group of near copies never spells out its pairs;
 3.  the short lists, of each set's |x| - T + 1 rarest shingles (frequent ones last, then by hash), are built, and only
-    lists over more than one component are kept;
-4.  each query heap-merges its short lists; a partner found there has x's other shingles probed for by binary search,
-    and is linked when the overlap reaches the T of the pair.
+    lists over more than one component are kept; ROUNDS times each set is compared with the entry, of all that head its
+    lists this time, with which it shares most, and what is linked is joined, so that lists shrink to one component;
+4.  each query's short lists, sorted by document, are merged (by sorting runs, for many queries at once, which gives what
+    a heap gives); of a pair the one in the larger component is the query, so entries of a list's largest
+    component never travel and no pair inside a component is met. The merge counts the shingles it shares with each partner there; a partner stays
+    unless either set has missed more shingles, up to the last shared one, than a link allows. It then has x's other
+    shingles probed for by binary search, and is linked when the overlap reaches the T of the pair.
 
 Steps 3 and 4 are complete: any order of the shingles gives all linked pairs of different components. What counts as
-frequent (the heaviest shingles, at most FREQUENT) only shortens lists.
+frequent (the heaviest shingles that repeat within a partition, at most FREQUENT) only shortens lists.
 
 Null, empty or blank text: an empty set, linked with nothing. Fewer than 5 words: the whole sequence is the one shingle.
 Rows of one doc_id are one node. Null doc_id: its rows link with nothing and have no component. Shingles are compared
@@ -22,19 +26,22 @@ by a 64-bit hash.
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, load, materialize, tune
+from folio.llm.common import components, discard, load, materialize, tune
 
 WORDS, SHARE_OF, SHARE = 5, 100, 75  # linked when SHARE_OF * intersection >= SHARE * union
-#: Lowest hashes by which near copies find each other early; bound of the frequent shingles; entries of a list's part.
-LOWEST, FREQUENT, PART = 6, 200_000, 4096
+#: Lowest hashes by which near copies find each other early, and how many they share; bound of the frequent shingles;
+#: entries of a list's part; shingles that a worker counts at once.
+LOWEST, STAR, FREQUENT, PART, COUNTED = 8, 3, 200_000, 4096, 4_000_000
+#: Rounds in which lists are joined by their heads.
+ROUNDS = 1
 #: Bytes of postings that a bucket should hold.
 BUCKET_BYTES = 12_000_000
 
@@ -121,33 +128,55 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return probe(a, b) >= pair_overlap(len(a), len(b))
 
 
-def divide_skip(short: list[list[tuple]], size: int, component: int, node: int) -> list[int]:
-    """Heap-merges a query's short lists of (node, component, size), each sorted; the nodes below it in other components
-    whose size allows a link. The long lists are left to the probe."""
-    out = []
-    last = None
-    for y, c, n in heapq.merge(*short):
-        if y != last and y < node and c != component and SHARE_OF * min(n, size) >= SHARE * max(n, size):
-            out.append(y)
-        last = y
-    return out
+def divide_skip(query: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, other: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs that may be linked, from the entries of the queries' short lists; the long lists are left to the probe.
+
+    Each entry: the query, its set's size, the shingle's place in it; the node, its set's size and the shingle's place in
+    that. Merged by node, a run of equal ones counts the shared shingles; up to the last shared one neither set may have
+    missed more than a link allows.
+    """
+    fits = SHARE_OF * np.minimum(size, other) >= SHARE * np.maximum(size, other)
+    query, size, at, node, other, place = (x[fits] for x in (query, size, at, node, other, place))
+    if not len(query):
+        return query, node
+    order = np.lexsort((node, query))
+    query, size, at, node, other, place = (x[order] for x in (query, size, at, node, other, place))
+    first = np.flatnonzero(np.concatenate([[True], (query[1:] != query[:-1]) | (node[1:] != node[:-1])]))
+    shared = np.diff(np.concatenate([first, [len(query)]]))
+    mine, theirs = np.maximum.reduceat(at, first), np.maximum.reduceat(place, first)
+    n, m = size[first], other[first]
+    least = -(-SHARE * (n + m) // (SHARE_OF + SHARE))
+    ok = (mine + 1 - shared <= n - least) & (theirs + 1 - shared <= m - least)
+    return query[first][ok], node[first][ok]
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key (a digest of the set), low (its lowest hashes), often (shingles that repeat in this batch, on one row)."""
+    """doc_id, n, key (a digest of the set), low (its lowest hashes); and rows with n = -1 that hold, in often, the
+    shingles that repeat in a partition."""
+    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("uses", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def repeated() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values, counts = values[counts > 2], counts[counts > 2]
+            often = pa.array([[{"shingle": v, "uses": c} for v, c in zip(values.tolist(), counts.tolist(), strict=True)]], kind)
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.int64())), often], names=["doc_id", "n", "key", "low", "often"])
+
         for b in batches:
             got = sets(b.column(1).to_pylist())
-            every = np.concatenate(got) if got else np.empty(0, np.int64)
-            values, counts = np.unique(every, return_counts=True)
-            often = [[]] * len(got)
-            if len(got):
-                often[0] = [{"shingle": int(v), "uses": int(c)} for v, c in zip(values[counts > 2], counts[counts > 2], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array([hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in got], pa.binary()), pa.array([s[:LOWEST] for s in got], pa.list_(pa.int64())), pa.array(often, pa.list_(pa.struct([("shingle", pa.int64()), ("uses", pa.int64())])))],
-                names=["doc_id", "n", "key", "low", "often"],
-            )
+            for s in got:
+                held.append(s)
+                size += len(s)
+                if size >= COUNTED:
+                    yield repeated()
+                    held, size = [], 0
+            keys = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array(keys, pa.binary()), pa.array([s[:LOWEST] for s in got], pa.list_(pa.int64())), pa.array([None] * len(got), kind)], names=["doc_id", "n", "key", "low", "often"])
+        if size:
+            yield repeated()
 
     return docs.mapInArrow(run, "doc_id long, n long, key binary, low array<bigint>, often array<struct<shingle:bigint,uses:bigint>>")
 
@@ -163,7 +192,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (u, v)."""
+    """The linked ones of the pairs (u, v), a table that materialize wrote; it and the sets go, the links are written."""
     nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     s = materialize(sets_of(docs, nodes), "sets")
 
@@ -174,13 +203,15 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(ok)
 
     both = pairs.join(s.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(s.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    out = materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
+    discard(s, pairs)
+    return out
 
 
 def short_lists(docs: DataFrame, nodes: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
-    """(shingle, node, component, n) of the short lists that lie in more than one component.
+    """(shingle, node, component, n, place) of the short lists that lie in more than one component.
 
-    nodes: (node, component, n). Postings travel as packed arrays, one for each batch and bucket of shingles.
+    nodes: (node, component, n). place: the shingle's place in the set's order. Postings travel as packed arrays, one for each batch and bucket of shingles.
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(often))  # at most FREQUENT numbers
 
@@ -201,7 +232,9 @@ def short_lists(docs: DataFrame, nodes: DataFrame, often: np.ndarray, buckets: i
             if not short:
                 continue
             sizes = np.fromiter(map(len, short), np.int64, len(short))
-            rows = np.stack([np.concatenate(short), *(np.repeat(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for c in ("node", "component", "n"))], axis=1)
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            node, component, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for c in ("node", "component", "n"))
+            rows = np.stack([np.concatenate(short), node, component, n << 32 | place], axis=1)
             bucket = (rows[:, 0].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order].astype(np.int64)
@@ -217,39 +250,79 @@ def short_lists(docs: DataFrame, nodes: DataFrame, often: np.ndarray, buckets: i
         sizes = np.diff(np.concatenate([first, [len(rows)]]))
         keep = np.repeat(np.minimum.reduceat(rows[:, 2], first) < np.maximum.reduceat(rows[:, 2], first), sizes)
         rows = rows[keep]
-        return pa.table([pa.array(rows[:, k]) for k in range(4)], names=["shingle", "node", "component", "n"])
+        return pa.table([pa.array(x) for x in (*rows[:, :3].T, rows[:, 3] >> 32, rows[:, 3] & 0xFFFFFFFF)], names=["shingle", "node", "component", "n", "place"])
 
     short = docs.select("doc_id", "text").mapInArrow(prefixes, "node long, short binary")
     packed = short.join(nodes, "node").select("node", "component", "n", "short").mapInArrow(pack, "bucket long, postings binary")
-    return packed.groupBy("bucket").applyInArrow(several, "shingle long, node long, component long, n long")
+    return packed.groupBy("bucket").applyInArrow(several, "shingle long, node long, component long, n long, place long")
+
+
+def labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """postings with the nodes' components as they are now; lists of one component are left out."""
+    now = postings.drop("component").join(labels.select("node", "component"), "node")
+    several = now.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    return now.join(several.select("shingle"), "shingle", "left_semi")
+
+
+def headed(lists: DataFrame, turn: int) -> DataFrame:
+    """(u, v): for each node the head, of all its lists' heads in other components, with which it shares most of them."""
+    heads = lists.groupBy("shingle").agg(F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", F.lit(turn))).alias("h"))
+    met = lists.join(heads, "shingle").where("component <> h.component").where(SHARE_OF * F.least("n", "h.n") >= SHARE * F.greatest("n", "h.n"))
+    counts = met.groupBy("node", F.col("h.node").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy(F.col("node").alias("u")).agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+
+
+def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels after the components of the edges' ends have been joined."""
+    ends = edges.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
+    moved = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    moved = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return materialize(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"), "n"), "nodes")
 
 
-def merged(postings: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v): each query's short lists, brought to it by a join on the shingle, heap-merged.
+def merged(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of different components: each query's short lists are brought to it and merged.
 
-    A list of more than PART entries travels in several parts.
+    Components are ranked by size, then by id; of a pair the one in the higher component is always the query, so all that
+    a pair shares is counted in one place, and the entries of a list's highest component need not travel. A list of more
+    than PART entries travels in several parts.
     """
-    size = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("_m"))
-    parted = postings.join(size, "shingle").withColumn("_part", F.pmod(F.xxhash64("node"), F.ceil(F.col("_m") / PART)))
-    lists = parted.groupBy("shingle", "_part").agg(F.sort_array(F.collect_list(F.struct("node", "component", "n"))).alias("entries"))
-    queries = postings.select("shingle", F.col("node").alias("q"), F.col("component").alias("qc"), F.col("n").alias("qn"))
-    rows = queries.join(lists, "shingle").select("q", "qc", "qn", "entries").repartition("q").sortWithinPartitions("q")
+    weight = labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    lists = lists.join(weight, "component")
+    top = lists.groupBy("shingle").agg(F.max(F.struct("weight", "component")).alias("t"), F.count(F.lit(1)).alias("rest"))
+    all_ = lists.join(top.select("shingle", F.col("t.component").alias("top"), "rest"), "shingle")
+    outside = all_.where("component <> top").withColumn("_part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rest") / PART)))
+    packed = outside.groupBy("shingle", "_part").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.collect_list("weight").alias("weights"), F.collect_list("n").alias("sizes"), F.collect_list("place").alias("places"))
+    queries = all_.select("shingle", F.col("node").alias("q"), F.col("component").alias("qc"), F.col("n").alias("qn"), F.col("place").alias("qp"), F.col("weight").alias("qw"))
+    rows = queries.join(packed, "shingle").drop("shingle", "_part").repartition("q").sortWithinPartitions("q")
+    rows = rows.select("q", "qc", "qn", "qp", "qw", "nodes", "components", "weights", "sizes", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(q: tuple, short: list) -> pa.RecordBatch:
-            found = divide_skip(short, q[2], q[1], q[0])
-            return pa.RecordBatch.from_arrays([pa.array([q[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["u", "v"])
+        def emit(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            q, n, at, node, m, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            u, v = divide_skip(q, n, at, node, m, place)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        now, short = None, []
+        held: list[list[np.ndarray]] = []  # entries of queries that may go on in the next batch
         for b in batches:
-            for q, c, n, entries in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if now is not None and q != now[0]:
-                    yield emit(now, short)
-                    short = []
-                now = (q, c, n)
-                short.append([(e["node"], e["component"], e["n"]) for e in entries])
-        if now is not None:
-            yield emit(now, short)
+            plain = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            counts = np.diff(b.column(5).offsets.to_numpy())
+            q, qc, n, at, qw = (np.repeat(x, counts) for x in plain)
+            node, component, weight, m, place = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(5, 10))
+            use = (weight < qw) | (weight == qw) & (component < qc)
+            entries = [x[use] for x in (q, n, at, node, m, place)]
+            if held and b.num_rows and len(held[-1][0]) and held[-1][0][-1] != plain[0][0]:
+                yield emit(held)
+                held = []
+            last = entries[0] == plain[0][-1] if b.num_rows else np.empty(0, bool)
+            if b.num_rows and plain[0][0] != plain[0][-1]:
+                held.append([x[~last] for x in entries])
+                yield emit(held)
+                held = [[x[last] for x in entries]]
+            else:
+                held.append(entries)
+        if held:
+            yield emit(held)
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
@@ -263,21 +336,36 @@ def link(docs: DataFrame) -> DataFrame:
     heads = seen.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("low").alias("low"))
     heads = materialize(heads, "heads")
     low = heads.select("node", F.explode("low").alias("shingle"))
-    stars = low.join(low.groupBy("shingle").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1"), "shingle").where("node > v").select(F.col("node").alias("u"), "v").distinct()
-    early = materialize(verified(known, materialize(stars, "stars")), "links")
+    least = low.groupBy("shingle").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last")
+    stars = low.join(least, "shingle").where("node > v").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"))
+    size = heads.groupBy(F.col("node").alias("u")).agg(F.max("n").alias("n"))
+    stars = stars.join(size, "u").where(F.col("shared") >= F.least(F.lit(STAR), F.col("n"))).select("u", "v")
+    early = verified(known, materialize(stars, "stars"))
     joined = components(early)
     nodes = heads.join(joined, "node", "left").groupBy("node").agg(F.min(F.coalesce("component", "node")).alias("component"), F.max("n").alias("n"))
     nodes = materialize(nodes, "nodes")
-    heavy = seen.select(F.inline("often")).groupBy("shingle").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "shingle").limit(FREQUENT)
+    heavy = seen.where("n < 0").select(F.inline("often")).groupBy("shingle").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "shingle").limit(FREQUENT)
     often = np.array([r[0] for r in heavy.collect()], np.int64)
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total * 32 * (SHARE_OF - SHARE) / SHARE_OF / BUCKET_BYTES))
-    postings = materialize(short_lists(known, nodes, often, buckets), "lists")
-    late = materialize(verified(known, materialize(merged(postings), "candidates")), "links")
-    edges = early.unionByName(late)
-    final = components(edges)
+    lists = materialize(short_lists(known, nodes, often, buckets).drop("component"), "lists")
+    edges = [early]
+    for turn in range(ROUNDS):
+        now = materialize(labelled(lists, nodes), "lists")
+        discard(lists)
+        found = verified(known, materialize(headed(now, turn), "heads"))
+        lists = now
+        if not found.limit(1).count():
+            break
+        edges.append(found)
+        nodes = joined_labels(nodes, found)
+    now = materialize(labelled(lists.drop("component"), nodes), "lists")
+    discard(lists)
+    edges.append(verified(known, materialize(merged(now, nodes), "candidates")))
+    discard(now)
+    final = components(reduce(DataFrame.unionByName, edges))
     by_key = heads.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    out = seen.select("doc_id", "n", "key").join(by_key, "key", "left")
+    out = seen.where("n >= 0").select("doc_id", "n", "key").join(by_key, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

@@ -216,9 +216,10 @@ def test_ngram_join_equals_brute_force(spark):
 def test_divide_skip_and_probe():
     a, b = np.arange(0, 100), np.arange(10, 100)
     assert ngram_join.linked(a, b) and not ngram_join.linked(a, b[:60]) and not ngram_join.linked(a[:0], a[:0])
-    lists = [(0, [(1, 1, 10, 0), (2, 2, 10, 0)]), (1, [(2, 2, 10, 1), (9, 9, 10, 0)])]
-    assert ngram_join.divide_skip(lists, 10, 5, 5) == [1, 2]
-    assert ngram_join.divide_skip([(5, [(1, 1, 10, 5)])], 10, 5, 5) == []  # five misses each: the overlap cannot be reached
+    q, n, at = np.array([5, 5, 5, 5]), np.full(4, 10), np.array([0, 0, 1, 5])
+    node, m, place = np.array([1, 2, 2, 3]), np.array([10, 10, 10, 10]), np.array([0, 0, 1, 5])
+    u, v = ngram_join.divide_skip(q, n, at, node, m, place)
+    assert u.tolist() == [5, 5] and v.tolist() == [1, 2]  # the last one's sets have missed five shingles each
 
 
 # -- 7 ------------------------------------------------------------------------------------------------------------------
