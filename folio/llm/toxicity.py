@@ -7,7 +7,9 @@ negated or quoted insult goes to another feature than a plain one, and a logisti
 to the labels, gives the text's score.
 
 The insult transducer's stems are learned: of all fragments of 3 to 6 letters (and whole words) of the training rows,
-those that are far likelier in toxic rows, chosen greedily until they cover the words that such fragments are found in. The other lists are fixed.
+those that are far likelier in toxic rows, chosen greedily until they cover the words that such fragments are found in.
+Near copies are counted once, so one copied text teaches nothing, and a fragment of an insult that harmless words hold
+too gives way to a longer one. The other lists are fixed.
 
 Null and empty texts have no clause: they get the score of a text without a match. Without training rows of both labels
 all scores are 0. Repeated rows have equal scores; a doc_id with several labels trains with each.
@@ -15,6 +17,8 @@ all scores are 0. Repeated rows have equal scores; a doc_id with several labels
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,9 +33,12 @@ from folio.llm.common import arrow_append, load, materialize, tune
 
 #: The documented bounds of what is fitted: training rows of each label, and stems.
 SAMPLE_TOXIC, SAMPLE_CLEAN, STEMS, CANDIDATES = 2000, 6000, 400, 4000
-#: Least log odds of a stem, and least likelihood ratio (G squared) against chance.
-#: A stem also needs these parts of the best ratio and odds: words of one copied text, and parts of harmless words, stay out.
-ODDS, RATIO, RATIO_OF_BEST, ODDS_OF_BEST = 3.0, 16.0, 0.06, 0.7
+#: Least log odds of a stem, least likelihood ratio (G squared) against chance, and least lower end of the odds' interval,
+#: which lies Z standard errors below. None depends on the other stems, so rare insults and small languages keep theirs.
+ODDS, RATIO, SURE, Z = 3.0, 16.0, 1.5, 1.96
+#: Near copies of a training text count once: MinHash bands, values a band, words of a shingle.
+BANDS, BAND_ROWS, SHINGLE = 4, 3, 3
+MULTIPLIERS = [int(m) | 1 for m in np.random.default_rng(7).integers(1, 1 << 63, BANDS * BAND_ROWS)]
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 SHORTEST, LONGEST = 3, 6
@@ -209,8 +216,63 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def bands(text: str) -> list[int]:
+    """A key for each band of the MinHash signature of the text's shingles; none without words."""
+    words = WORD.findall(text.lower())
+    if not words:
+        return []
+    shingles = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    x = np.array([digest(s) for s in shingles], np.int64).astype(np.uint64)
+    least = [int((x * np.uint64(m)).min()) for m in MULTIPLIERS]
+    return [digest(f"{b}:{least[b * BAND_ROWS : (b + 1) * BAND_ROWS]}") for b in range(BANDS)]
+
+
+def copies(sample: DataFrame) -> frozenset[tuple[int, int]]:
+    """(digest, label) of the texts that share a band with a text before them of the same label, in the digests' order."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([digest(t) for t in texts], pa.int64()), b.column(1).cast(pa.int32()), pa.array([bands(t) for t in texts], pa.list_(pa.int64()))], names=["digest", "toxic", "bands"])
+
+    met: set[tuple[int, int, int]] = set()
+    out = set()
+    for own, label, keys in sorted((r[0], r[1], list(r[2])) for r in sample.mapInArrow(sign, "digest long, toxic int, bands array<long>").collect()):  # a few numbers a row of the bounded sample
+        keys = [(label, k, b) for k, b in enumerate(keys)]
+        if any(k in met for k in keys):
+            out.add((own, label))
+        met.update(keys)
+    return frozenset(out)
+
+
+def log_odds(toxic: float, clean: float, n1: float, n0: float) -> float:
+    return math.log((toxic + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1))
+
+
+def distinct_marks(rows: list[tuple[str, float, int, int]], n1: float, n0: float) -> list[tuple[str, float, int]]:
+    """(fragment, log odds, toxic rows) without the fragments that a longer one of rows stands for.
+
+    It does if the rows that hold the shorter and not the longer one are partly clean and do not mark toxic rows: an
+    insult's fragment in harmless words ("wor" of "worthless"). rows: (fragment, log odds, toxic rows, clean rows).
+    """
+    of = {f: (a, c) for f, _, a, c in rows}
+    spare = set()
+    for g, (a, c) in of.items():
+        for f in set(fragments(g.removeprefix("="))) - {g}:
+            if f in of:
+                x, y = of[f][0] - a, of[f][1] - c
+                if y > 0 and log_odds(x, y, n1, n0) - Z * math.sqrt(1 / (x + 0.5) + 1 / (y + 0.5)) < SURE:
+                    spare.add(f)
+    return [(f, o, a) for f, o, a, _ in rows if f not in spare]
+
+
 def candidates(sample: DataFrame) -> list[tuple[str, float, int]]:
-    """(fragment, log odds, toxic rows) of the fragments that mark toxic rows best; counted over the whole sample."""
+    """(fragment, log odds, toxic rows) of the fragments that mark toxic rows; counted over the sample, near copies once."""
+    again = copies(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -223,6 +285,8 @@ def candidates(sample: DataFrame) -> list[tuple[str, float, int]]:
         of: dict[str, list[str]] = {}
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if again and (digest(text), label) in again:
+                    continue
                 totals[label] += 1
                 own: set[str] = set()
                 for w in set(WORD.findall(text.lower())):
@@ -247,10 +311,9 @@ def candidates(sample: DataFrame) -> list[tuple[str, float, int]]:
     a, c = F.col("toxic"), F.col("clean")
     term = lambda x, n: F.when(x > 0, x * F.log(x * (n1 + n0) / ((a + c) * n))).otherwise(0.0)
     scored = counted.where("fragment <> '' and toxic >= 2").withColumn("odds", F.log((a + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1))).withColumn("ratio", 2 * (term(a, n1) + term(c, n0)))
-    best = scored.where((F.col("odds") >= ODDS) & (F.col("ratio") >= RATIO)).orderBy(F.desc("ratio"), F.desc("odds"), "fragment").limit(CANDIDATES)
-    rows = best.collect()
-    ratio, odds = (max((r[c] for r in rows), default=0.0) for c in ("ratio", "odds"))
-    return [(r["fragment"], float(r["odds"]), int(r["toxic"])) for r in rows if r["ratio"] >= RATIO_OF_BEST * ratio and r["odds"] >= ODDS_OF_BEST * odds]
+    sure = F.col("odds") - Z * F.sqrt(1 / (a + 0.5) + 1 / (c + 0.5)) >= SURE
+    best = scored.where((F.col("odds") >= ODDS) & (F.col("ratio") >= RATIO) & sure).orderBy(F.desc("ratio"), F.desc("odds"), "fragment").limit(CANDIDATES)
+    return distinct_marks([(r["fragment"], float(r["odds"]), int(r["toxic"]), int(r["clean"])) for r in best.collect()], n1, n0)
 
 
 def choose(words: list[tuple[str, int]], found: dict[str, float]) -> dict[str, float]:

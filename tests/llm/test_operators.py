@@ -245,6 +245,36 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.rate(docs(spark, ODD), none).collect()} == {0.0}
 
 
+def test_toxicity_of_every_language(spark):
+    """Insults of a language with a twelfth of the toxic rows are learned; a text copied with small changes teaches nothing."""
+    rng = np.random.default_rng(4)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(400)] for lang, letters in (("en", "abcdefgh"), ("es", "ijklmnop"), ("fr", "qrstuvwx"))}
+    insult = {"en": "zzidiotz", "es": "ññbobo", "fr": "ççsotç"}
+    prose = lambda lang: list(rng.choice(words[lang], 30))
+    rows, tags = [], {}
+    for lang, toxic, clean in (("en", 400, 600), ("es", 36, 300), ("fr", 36, 300)):
+        for k in range(toxic + clean):
+            tags[len(rows)] = lang
+            rows.append((len(rows), " ".join([*prose(lang), *([insult[lang]] if k < toxic else [])]), int(k < toxic)))
+    copied = [*prose("en"), "copyq"]
+    for k in range(60):
+        rows.append((len(rows), " ".join([*copied, f"y{'abcdefghij'[k % 10]}{'klmnop'[k // 10]}", "zzidiotz"]), 1))
+    d = docs(spark, [r[:2] for r in rows])
+    model = toxicity.fit(d, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    got = toxicity.rate(d.withColumn("h", toxicity.held_out()), model, keep=["doc_id", "h"]).where("h").collect()
+    label = {r[0]: r[2] for r in rows}
+    for lang in insult:
+        mine = [r for r in got if tags.get(r.doc_id) == lang]
+        assert np.mean([r.predicted for r in mine if label[r.doc_id] == 1]) > 0.9, lang
+        assert np.mean([r.predicted for r in mine if label[r.doc_id] == 0]) < 0.05, lang
+    assert not model.lexicon.insult("copyq")
+
+
+def test_fragments_of_harmless_words_give_way():
+    rows = [("wor", 3.9, 103, 15), ("=worthless", 7.3, 100, 0), ("réeu", 4.0, 60, 1), ("=réeuxment", 4.2, 13, 0)]
+    assert [f for f, _, _ in toxicity.distinct_marks(rows, 342, 2709)] == ["=worthless", "réeu", "=réeuxment"]
+
+
 # -- 8 ------------------------------------------------------------------------------------------------------------------
 
 
