@@ -3,7 +3,9 @@
 Equal vectors become one representative with a weight. Representatives are dealt to shards by hash, a graph is built for
 each shard and written to a table, and every representative is searched for in every shard's graph. A search's beam is
 widened while all that it holds lies above the threshold, and the shard's base beam is widened until an audit against
-brute force finds AUDIT of the links of a sample of queries. Links are decided by the cosine in double precision.
+brute force passes: the mean over the queries with links of the part found is AUDIT, for those of small groups also by
+themselves, self matches left out. If the widest beam fails too, the block is compared with the whole shard by brute
+force. Links are decided by the cosine in double precision.
 
 A task returns for each query the weight of the links it found, and a spanning forest of them (not the pairs), so what
 travels is linear in the vectors also inside large groups; the forests are joined into components.
@@ -28,6 +30,8 @@ from folio.llm.common import components, load, materialize, tune
 THRESHOLD, AUDIT = 0.95, 0.99
 #: Links of a node above the ground layer (twice as many there), beam while building, first and last base beam of searches.
 LINKS, BUILD_BEAM, BEAM, MOST_BEAM = 12, 40, 24, 768
+#: A query of at most so many links is of a small group, which is audited apart; multiplications of a block of brute force.
+SMALL, BRUTE = 24, 1 << 24
 #: Shards at least, vectors of a shard and of a block of queries at most, audited queries of a block, bytes of a graph's part.
 SHARDS, SHARD_ROWS, BLOCK_ROWS, AUDITED, PART_BYTES = 6, 200_000, 20_000, 128, 8_000_000
 
@@ -225,30 +229,58 @@ class Hnsw:
         return g
 
 
-def links(g: Hnsw, shard: np.ndarray, q: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) numbers of the links of q, verified in double precision. shard, q: the vectors as given.
+def verified(shard: np.ndarray, q: np.ndarray, norms: np.ndarray, qn: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (query, node) whose cosine in double precision is a link's."""
+    exact = np.empty(len(a), bool)
+    for lo in range(0, len(a), 1 << 18):
+        s = slice(lo, lo + (1 << 18))
+        exact[s] = np.einsum("ij,ij->i", q[a[s]], shard[b[s]]) / (qn[a[s]] * norms[b[s]]) >= THRESHOLD
+    return a[exact], b[exact]
 
-    The base beam is widened until the audit passes: brute force over a sample of the queries, spread evenly.
+
+def brute(shard: np.ndarray, q: np.ndarray, norms: np.ndarray, qn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All links of q, from products of blocks of queries with the shard."""
+    step = max(1, BRUTE // max(1, len(shard)))
+    found = []
+    for lo in range(0, len(q), step):
+        s = slice(lo, lo + step)
+        i, j = np.nonzero((q[s] @ shard.T) >= (THRESHOLD - 1e-9) * qn[s, None] * norms)
+        found.append(verified(shard, q, norms, qn, i + lo, j))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def passes(truth: np.ndarray, hit: np.ndarray) -> bool:
+    """truth, hit: the links, and those found, of each audited query. Each query counts alike, however many links it has."""
+    n = truth.sum(1)
+    part = (hit & truth).sum(1) / np.maximum(1, n)
+    return all(not some.any() or part[some].mean() >= AUDIT for some in (n > 0, (n > 0) & (n <= SMALL)))
+
+
+def links(g: Hnsw, shard: np.ndarray, q: np.ndarray, beam: int = BEAM, qid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) numbers of the links of q, verified in double precision. shard, q: the vectors as given; qid: q's nodes.
+
+    The base beam is widened until the audit passes: brute force over a sample of the queries, spread evenly, without
+    self matches. If it never does, brute force takes the search's place.
     """
+    if not len(q):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     norms, qn = np.linalg.norm(shard, axis=1), np.linalg.norm(q, axis=1)
     unit = (q / qn[:, None]).astype(np.float32)
     audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
     truth = (q[audited] @ shard.T) >= THRESHOLD * qn[audited, None] * norms
-    while True:
-        a, b = g.within(unit, THRESHOLD - 1e-4, beam)
-        exact = np.empty(len(a), bool)
-        for lo in range(0, len(a), 1 << 18):
-            s = slice(lo, lo + (1 << 18))
-            exact[s] = np.einsum("ij,ij->i", q[a[s]], shard[b[s]]) / (qn[a[s]] * norms[b[s]]) >= THRESHOLD
-        a, b = a[exact], b[exact]
+    if qid is not None:
+        truth &= qid[audited, None] != g.ids
+    while beam <= MOST_BEAM:
+        a, b = verified(shard, q, norms, qn, *g.within(unit, THRESHOLD - 1e-4, beam))
         hit = np.zeros(truth.shape, bool)
         place = np.full(len(q), -1)
         place[audited] = np.arange(len(audited))
         mine = place[a] >= 0
         hit[place[a[mine]], b[mine]] = True
-        if (hit & truth).sum() >= AUDIT * truth.sum() or beam >= MOST_BEAM:
+        if passes(truth, hit):
             return a, b
         beam *= 2
+    return brute(shard, q, norms, qn)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -316,7 +348,7 @@ def search_shard(left: pa.Table, right: pa.Table) -> pa.Table:
         z = np.load(io.BytesIO(b"".join(p for _, p in parts)))
         g, shard, weight = Hnsw.load(z["graph"].tobytes()), z["x"], z["weight"]
         q, qid = matrix(right.column("embedding")), right.column("node").to_numpy()
-        a, b = links(g, shard, q)
+        a, b = links(g, shard, q, qid=qid)
         same = qid[a] == g.ids[b]
         a, b = a[~same], b[~same]
         total = np.bincount(a, weight[b], len(q)).astype(np.int64)

@@ -174,6 +174,36 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.dedupe(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def skewed(hot, pairs=40):
+    """Vectors (one large group, and pairs) and a graph of them whose searches find no vector outside the group."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(pairs, 16))
+    x = np.concatenate([rng.normal(size=(1, 16)).repeat(hot, 0) + rng.normal(size=(hot, 16)) * 0.01, base, base + rng.normal(size=(pairs, 16)) * 0.01])
+    g = embedding_dedup.Hnsw(x / np.linalg.norm(x, axis=1)[:, None], np.arange(len(x))).build()
+    whole = g.within
+    g.within = lambda *k: tuple(v[whole(*k)[1] < hot] for v in whole(*k))
+    s = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T >= embedding_dedup.THRESHOLD
+    return g, x, s
+
+
+@pytest.mark.parametrize("hot", [60, 300])  # of all links the group has 96 and over 99 %
+def test_a_failed_audit_leads_to_brute_force(hot):
+    g, x, s = skewed(hot)
+    a, b = embedding_dedup.links(g, x, x)
+    assert {*zip(a.tolist(), b.tolist(), strict=True)} == {*zip(*(v.tolist() for v in np.nonzero(s)), strict=True)}
+
+
+def test_the_audit_is_by_query():
+    truth = np.zeros((41, 400), bool)
+    truth[0] = truth[1:21, 0] = truth[21:41, :100] = True
+    hit = truth.copy()
+    hit[1:21] = False  # 20 of 2,420 links, all of the small groups
+    assert embedding_dedup.passes(truth, truth) and not embedding_dedup.passes(truth, hit)
+    hit = truth.copy()
+    hit[1] = False
+    assert not embedding_dedup.passes(truth, hit)
+
+
 # -- 6 ------------------------------------------------------------------------------------------------------------------
 
 
