@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.errors import EngineError
 from folio.functions import text as tx
 from folio.operators import catalog, evals, ingest, rank, search, signatures, similarity
+from folio.plans.queries import QUERIES
 
 
 def one(spark, column, **values):
@@ -112,3 +113,15 @@ def test_errors(spark, sf):
 def test_null_cost_poisons_a_case(spark):
     s = spark.createDataFrame([("a", 1, 2.0), ("a", 1, None), ("b", 1, 1.5)], "k string, tokens long, cost double")
     assert {r.k: r.cost for r in evals.usage(s, "k").collect()} == {"a": None, "b": 1.5}
+
+
+def tables(spark, path, rows):
+    """A folder with documents of (doc_id, text, source)."""
+    d = spark.createDataFrame([(i, t, "en", src, len(t)) for i, t, src in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_read_chapter_reads_every_id(spark, tmp_path):
+    sf = tables(spark, tmp_path, [(5, "a", "src5"), (400, "b", "src5"), (90_000, "c", "src5"), (6, "d", "src6")])
+    assert sorted(r.doc_id for r in QUERIES["o026_read_chapter"](spark, sf).collect()) == [5, 400, 90_000]
