@@ -278,7 +278,7 @@ def offsets(spark: SparkSession, sf: str) -> DataFrame:
 def drift(spark: SparkSession, sf: str) -> DataFrame:
     """What a rebuild would change: a full outer join of stored and fresh hashes. The two sides are made from the documents."""
     d = documents(spark, sf)
-    stored = d.where("doc_id % 7 <> 0").select("doc_id", tx.fnv1a(F.substring("text", 1, 200)).alias("old"))
-    fresh = d.where("doc_id % 5 <> 0").select("doc_id", tx.fnv1a(F.substring(F.when(F.col("doc_id") % 11 == 0, F.upper("text")).otherwise(F.col("text")), 1, 200)).alias("new"))
+    stored = d.where("doc_id % 7 <> 0").select("doc_id", tx.fnv1a(F.col("text")).alias("old"))
+    fresh = d.where("doc_id % 5 <> 0").select("doc_id", tx.fnv1a(F.when(F.col("doc_id") % 11 == 0, F.upper("text")).otherwise(F.col("text"))).alias("new"))
     both = stored.join(fresh, "doc_id", "full").where(~F.col("old").eqNullSafe(F.col("new")))
     return both.select("doc_id", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed").alias("drift"))

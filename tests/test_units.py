@@ -125,3 +125,8 @@ def tables(spark, path, rows):
 def test_read_chapter_reads_every_id(spark, tmp_path):
     sf = tables(spark, tmp_path, [(5, "a", "src5"), (400, "b", "src5"), (90_000, "c", "src5"), (6, "d", "src6")])
     assert sorted(r.doc_id for r in QUERIES["o026_read_chapter"](spark, sf).collect()) == [5, 400, 90_000]
+
+
+def test_drift_beyond_the_first_characters(spark, tmp_path):
+    sf = tables(spark, tmp_path, [(11, "1" * 250 + "end", "s"), (22, "1" * 250, "s"), (13, "1" * 250 + "end", "s")])
+    assert [(r.doc_id, r.drift) for r in QUERIES["o014_drift"](spark, sf).collect()] == [(11, "changed")]
