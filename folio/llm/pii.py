@@ -45,10 +45,11 @@ NUMBER_WORD = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(sorted(DIGITS, key=le
 BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|punto|arroba|punkt|point)\s*[\])}>]\s*", re.I)
 # The endings that a bare "dot" must lead to.
 ENDINGS = "com org net edu gov mil int info io co biz me tv dev app ai eu uk de fr es it nl ch at be pl us ca au jp cn in br mx".split()
-SPACED = re.compile(r"(?<=[A-Za-z0-9_%%+-])[ \t]+at[ \t]+[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9-]+)*?[ \t]+dot[ \t]+(?:%s)(?![A-Za-z0-9-])" % "|".join(ENDINGS), re.I)
-BARE = re.compile(r"[ \t]+(at|dot)[ \t]+", re.I)
+# The bare dots that may follow a bare "at" word; "at this point in" is plain English, so "point" needs "arroba".
+BARE_WORDS = {"at": "dot|punto|punkt", "arroba": "dot|punto|punkt|point"}
+SPACED = re.compile(r"(?<=[A-Za-z0-9_%%+-])(?:%s)[ \t]+(?:%s)(?![A-Za-z0-9-])" % ("|".join(rf"[ \t]+{at}[ \t]+[A-Za-z0-9-]+(?:[ \t]+(?:{dots})[ \t]+[A-Za-z0-9-]+)*?[ \t]+(?:{dots})" for at, dots in BARE_WORDS.items()), "|".join(ENDINGS)), re.I)
+BARE = re.compile(r"[ \t]+(at|arroba|dot|punto|punkt|point)[ \t]+", re.I)
 SYMBOL = {"at": "@", "arroba": "@", "dot": ".", "punto": ".", "punkt": ".", "point": "."}
-TRIGGER = re.compile(r"[\[({<]\s*(?:at|dot|punto|arroba|punkt|point)\s*[\])}>]|[ \t]dot[ \t]|[Ͱ-ϿЀ-ԯ！-～\U0001d400-\U0001d7ff]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -117,6 +118,18 @@ def plain(ch: str) -> str:
     return folded if len(folded) == 1 and folded.isascii() and folded.isprintable() else ch
 
 
+def folded() -> str:
+    """A character class of all characters that plain() changes."""
+    codes = [c for c in range(0x80, 0x110000) if plain(chr(c)) != chr(c)]
+    firsts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    lasts = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "[%s]" % "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts, strict=True))
+
+
+#: What some transducer could rewrite, besides names of digits. Characters are told by case: their class is exact.
+TRIGGER = re.compile(r"(?i:[\[({<]\s*(?:at|dot|punto|arroba|punkt|point)\s*[\])}>]|[ \t](?:dot|punto|punkt|point)[ \t])|" + folded())
+
+
 def homoglyphs(t: Tape) -> None:
     t.rewrite([(i, i + 1, p) for i, ch in enumerate(t.text) if not ch.isascii() and (p := plain(ch)) != ch])
 
@@ -137,7 +150,7 @@ def at_and_dot(t: Tape) -> None:
     edits = []
     for m in SPACED.finditer(t.text):
         words = list(BARE.finditer(t.text, m.start(), m.end()))
-        edits += [(w.start(), w.end(), "@" if k == 0 else ".") for k, w in enumerate(words) if k == 0 or w.group(1).lower() == "dot"]
+        edits += [(w.start(), w.end(), "@" if k == 0 else ".") for k, w in enumerate(words) if k == 0 or SYMBOL[w.group(1).lower()] == "."]
     t.rewrite(edits)
 
 

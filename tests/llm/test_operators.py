@@ -359,6 +359,20 @@ def test_disguises(text, kind, span):
     assert all(text[a:b] not in pii.masked(text) for a, b in [span])
 
 
+def test_the_gate_opens_for_all_that_folds():
+    folds = [c for c in map(chr, range(0x80, 0x110000)) if pii.plain(c) != c]
+    assert len(folds) > 1000 and all(pii.TRIGGER.search(c) for c in folds) and not pii.TRIGGER.search("né 中文 Ö")
+
+
+@pytest.mark.parametrize(("text", "kind"), [("bob\ufe6bacme.com", "email"), ("+①②③④⑤⑥⑦⑧⑨", "phone"), ("ana arroba acme punto com", "email"), ("uwe at acme punkt de", "email"), ("luc arroba acme point fr", "email")])
+def test_disguises_need_no_other_disguise(text, kind):
+    assert pii.added_spans(text, pii.base_spans(text))[kind] == [(0, len(text))]
+
+
+def test_at_this_point_is_no_address():
+    assert pii.find("Look at this point in time; we met at that point it rained.")[1] == {k: [] for k in pii.KINDS}
+
+
 def test_clean_text_is_left_alone(spark):
     for s in ("he was at the dot and zero one", "un deux", "meet at noon.", "", None):
         base, more = pii.find(s)
