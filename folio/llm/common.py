@@ -125,7 +125,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e = materialize(star(star(e, True).where("u <> v").distinct(), False).where("u <> v").distinct(), "edges")
+        spent, e = e, materialize(star(star(e, True).where("u <> v").distinct(), False).where("u <> v").distinct(), "edges")
+        discard(spent)
         after = sign(e)
         if after == before:
             break

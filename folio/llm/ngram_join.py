@@ -3,31 +3,32 @@
 Two sets x and y of similarity 3/4 share at least T = ceil(3/4 |x|) of x's shingles. DivideSkip splits x's inverted
 lists: the T - 1 longest need no merging, since a partner must occur in one of the others. So
 
-1.  every document's set is hashed from its whole text; equal sets become one representative;
-2.  representatives that share STAR of their LOWEST lowest hashes with the least one of a list are compared with it (linear
-    in the lists), and linked ones joined into components, so a large group of near copies never spells out its pairs;
-3.  the short lists, of each set's |x| - T + 1 rarest shingles (frequent ones last, then by hash), are built, and only
-    lists over more than one component are kept; ROUNDS times each set is compared with the entry, of all that head its
-    lists this time, with which it shares most, and what is linked is joined, so that lists shrink to one component;
-4.  each query's short lists, sorted by document, are merged (by sorting runs, for many queries at once, which gives what
-    a heap gives); of a pair the one in the larger component is the query, so entries of a list's largest
-    component never travel and no pair inside a component is met. The merge counts the shingles it shares with each partner there; a partner stays
-    unless either set has missed more shingles, up to the last shared one, than a link allows. It then has x's other
-    shingles probed for by binary search, and is linked when the overlap reaches the T of the pair.
-
-Steps 3 and 4 are complete: any order of the shingles gives all linked pairs of different components. What counts as
-frequent (the heaviest shingles that repeat within a partition, at most FREQUENT) only shortens lists.
+1.  every document's set is hashed from its whole text; equal sets have equal keys and count once;
+2.  keys that share STAR of their LOWEST lowest hashes with the least one of a list are compared with it (linear in the
+    lists), and linked ones joined into components, so a large group of near copies never spells out its pairs;
+3.  the short lists, of each set's |x| - T + 1 rarest shingles (frequent ones last, then by hash), are built, and those
+    that lie in more than one component are kept;
+4.  the short lists are merged: for each pair of keys of different components that meet in one, the shingles shared there
+    and their last places are counted, in the lists' buckets first and then over all of them (by sorting runs, which
+    counts what a heap counts). A pair stays unless either set has missed more shingles, up to the last shared one, than
+    a link allows;
+5.  parity sketches of the sets give a lower bound of their difference, which ends most pairs that are not linked; for
+    the rest x's other, long lists are probed: its shingles are searched for in y's sorted set, and the pair is linked
+    when the overlap reaches its T.
+
+All steps are complete: any order of the shingles gives all linked pairs of different components, and no sketch exceeds
+the difference of two sets. What counts as frequent (the heaviest shingles that repeat within a partition, at most
+FREQUENT) only shortens lists. A list of more than PART entries is merged in parts, each a task's group of its own.
 
 Null, empty or blank text: an empty set, linked with nothing. Fewer than 5 words: the whole sequence is the one shingle.
-Rows of one doc_id are one node. Null doc_id: its rows link with nothing and have no component. Shingles are compared
-by a 64-bit hash.
+Rows of one doc_id are one node, also when their texts differ. Null doc_id: its rows link with nothing and have no
+component. Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,13 @@ from folio.llm.common import components, discard, load, materialize, tune
 
 WORDS, SHARE_OF, SHARE = 5, 100, 75  # linked when SHARE_OF * intersection >= SHARE * union
 #: Lowest hashes by which near copies find each other early, and how many they share; bound of the frequent shingles;
-#: entries of a list's part; shingles that a worker counts at once.
-LOWEST, STAR, FREQUENT, PART, COUNTED = 8, 3, 200_000, 4096, 4_000_000
-#: Rounds in which lists are joined by their heads.
-ROUNDS = 1
-#: Bytes of postings that a bucket should hold.
-BUCKET_BYTES = 12_000_000
+#: entries of a list's part; shingles that a worker counts at once; pairs that it counts at once.
+LOWEST, STAR, FREQUENT, PART, COUNTED, PAIRS = 8, 3, 200_000, 2048, 4_000_000, 2_000_000
+#: Bytes of a posting (shingle, key, place), bytes of them that a bucket should hold, postings of a message to the buckets,
+#: entries that a bucket of the merge should hold.
+POSTING, BUCKET_BYTES, MESSAGE, ENTRIES = 18, 24_000_000, 500_000, 250_000
+#: Bits of the filter by which documents that take part are picked; it is of this size whatever the input.
+FILTER_BITS = 1 << 26
 
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 18
@@ -128,32 +130,74 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return probe(a, b) >= pair_overlap(len(a), len(b))
 
 
-def divide_skip(query: np.ndarray, size: np.ndarray, at: np.ndarray, node: np.ndarray, other: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs that may be linked, from the entries of the queries' short lists; the long lists are left to the probe.
+def sketch(s: np.ndarray) -> bytes:
+    """For each of 64 or more cells, at least two for each shingle, whether it holds an odd number of them; as bits."""
+    cells = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    odd = np.bincount(mix(s.view(np.uint64)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    Each entry: the query, its set's size, the shingle's place in it; the node, its set's size and the shingle's place in
-    that. Merged by node, a run of equal ones counts the shared shingles; up to the last shared one neither set may have
-    missed more than a link allows.
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """No two sets of these sketches differ in fewer shingles: the larger sketch is folded to the smaller one's cells."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, n)) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def tally(entries: np.ndarray, outside: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(u, v, shared, place of the last in u, in v, n of u, of v) of the pairs u < v that meet in lists, some PAIRS at a time.
+
+    entries and outside have columns shingle, key, component, n, place, rank, sorted by shingle and component. Pairs are
+    of an entry and one of outside in the same list, of different components and of sizes that a link allows. rank is 1
+    for what outside holds as well: of two such, the one in the lower component is the entry.
     """
-    fits = SHARE_OF * np.minimum(size, other) >= SHARE * np.maximum(size, other)
-    query, size, at, node, other, place = (x[fits] for x in (query, size, at, node, other, place))
-    if not len(query):
-        return query, node
-    order = np.lexsort((node, query))
-    query, size, at, node, other, place = (x[order] for x in (query, size, at, node, other, place))
-    first = np.flatnonzero(np.concatenate([[True], (query[1:] != query[:-1]) | (node[1:] != node[:-1])]))
-    shared = np.diff(np.concatenate([first, [len(query)]]))
-    mine, theirs = np.maximum.reduceat(at, first), np.maximum.reduceat(place, first)
-    n, m = size[first], other[first]
-    least = -(-SHARE * (n + m) // (SHARE_OF + SHARE))
-    ok = (mine + 1 - shared <= n - least) & (theirs + 1 - shared <= m - least)
-    return query[first][ok], node[first][ok]
+    begin, end = (np.searchsorted(outside[:, 0], entries[:, 0], side) for side in ("left", "right"))
+    count = end - begin
+    cuts = np.searchsorted(np.cumsum(count), np.arange(PAIRS, count.sum() + PAIRS, PAIRS))
+    at = 0
+    for cut in cuts.tolist():
+        part = slice(at, cut + 1)
+        at = cut + 1
+        size = count[part]
+        if not size.sum():
+            continue
+        x = np.repeat(entries[part], size, axis=0)
+        y = outside[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[part], size)]
+        fits = (x[:, 2] != y[:, 2]) & ((x[:, 5] == 0) | (x[:, 2] < y[:, 2])) & (SHARE_OF * np.minimum(x[:, 3], y[:, 3]) >= SHARE * np.maximum(x[:, 3], y[:, 3]))
+        x, y = x[fits], y[fits]
+        if not len(x):
+            continue
+        swap = x[:, 1] > y[:, 1]
+        x[swap], y[swap] = y[swap], x[swap]
+        order = np.lexsort((y[:, 1], x[:, 1]))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.concatenate([[True], (x[1:, 1] != x[:-1, 1]) | (y[1:, 1] != y[:-1, 1])]))
+        shared = np.diff(np.append(first, len(x)))
+        yield x[first, 1], y[first, 1], shared, np.maximum.reduceat(x[:, 4], first), np.maximum.reduceat(y[:, 4], first), x[first, 3], y[first, 3]
+
+
+def may_link(shared, mine, theirs, n, m):
+    """Whether sets of n and m, whose short lists share so many shingles up to these places, may be linked (columns or arrays).
+
+    Up to the last shared one neither may have missed more than n - T or m - T, T = ceil(SHARE (n + m) / (SHARE_OF + SHARE)).
+    """
+    whole = SHARE_OF + SHARE
+    return (whole * (n - 1 + shared - mine) >= SHARE * (n + m)) & (whole * (m - 1 + shared - theirs) >= SHARE * (n + m))
+
+
+KIND = pa.list_(pa.struct([("shingle", pa.int64()), ("uses", pa.int64())]))
+SEEN = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("low", pa.list_(pa.int64())), ("sketch", pa.binary()), ("often", KIND)])
+
+
+def key_of(s: np.ndarray) -> int | None:
+    """What stands for a set: 64 bits of its digest."""
+    return int.from_bytes(hashlib.md5(s.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True) if len(s) else None
 
 
 def first_pass(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key (a digest of the set), low (its lowest hashes); and rows with n = -1 that hold, in often, the
-    shingles that repeat in a partition."""
-    kind = pa.list_(pa.struct([("shingle", pa.int64()), ("uses", pa.int64())]))
+    """From (doc_id, th, text): doc_id, th, n, key, low (its lowest hashes), sketch; and rows with n = -1 that hold, in
+    often, the shingles that repeat in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -162,211 +206,232 @@ def first_pass(docs: DataFrame) -> DataFrame:
         def repeated() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             values, counts = values[counts > 2], counts[counts > 2]
-            often = pa.array([[{"shingle": v, "uses": c} for v, c in zip(values.tolist(), counts.tolist(), strict=True)]], kind)
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.list_(pa.int64())), often], names=["doc_id", "n", "key", "low", "often"])
+            often = pa.array([[{"shingle": v, "uses": c} for v, c in zip(values.tolist(), counts.tolist(), strict=True)]], KIND)
+            return pa.RecordBatch.from_arrays([pa.array([-1 if f.name == "n" else None], f.type) for f in SEEN][:-1] + [often], schema=SEEN)
 
         for b in batches:
-            got = sets(b.column(1).to_pylist())
+            got = sets(b.column(2).to_pylist())
             for s in got:
                 held.append(s)
                 size += len(s)
                 if size >= COUNTED:
                     yield repeated()
                     held, size = [], 0
-            keys = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() if len(s) else None for s in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array(keys, pa.binary()), pa.array([s[:LOWEST] for s in got], pa.list_(pa.int64())), pa.array([None] * len(got), kind)], names=["doc_id", "n", "key", "low", "often"])
+            columns = [b.column(0), b.column(1), [len(s) for s in got], [key_of(s) for s in got], [s[:LOWEST] for s in got], [sketch(s) if len(s) else None for s in got], [None] * len(got)]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, SEEN, strict=True)], schema=SEEN)
         if size:
             yield repeated()
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, low array<bigint>, often array<struct<shingle:bigint,uses:bigint>>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, key long, low array<bigint>, sketch binary, often array<struct<shingle:bigint,uses:bigint>>")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and set of the documents that `nodes` lists."""
+def chosen_by(spark: SparkSession, values: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test, for Python workers, that all of the numbers in `values` (one column of longs) pass and few others.
+
+    FILTER_BITS bits in all, whatever the number of values: the driver gathers pieces of 4 KiB at most.
+    """
+    at = F.pmod(F.xxhash64(values.columns[0]), F.lit(FILTER_BITS))
+    pieces = values.select(F.shiftright(at, 15).alias("piece"), F.pmod(at, F.lit(32768)).alias("bit"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in pieces.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        bits[r.piece * 4096 : (r.piece + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def passes(places: np.ndarray) -> np.ndarray:
+        return shared.value[places >> 3] >> (places & 7) & 1 == 1
+
+    return passes
+
+
+def picked(table: DataFrame, column: str, passes: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of the table whose column passes the filter."""
+    kind, names = table.schema, table.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets(b.column(1).to_pylist())], pa.binary())], names=["node", "set"])
+            ok = passes(b.column(len(names)).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(pa.array(ok, pa.bool_()))
 
-    return docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "node long, set binary")
+    return table.withColumn("_at", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))).mapInArrow(run, kind)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (u, v), a table that materialize wrote; it and the sets go, the links are written."""
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    s = materialize(sets_of(docs, nodes), "sets")
+def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The linked ones of the pairs (u, v) of keys, a table that materialize wrote and that goes; the links are written."""
+    spark = docs.sparkSession
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("u", "v")).alias("key"))
+
+    def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        a = table.select(F.col("key").alias("u"), F.col(column).alias("a"))
+        b = table.select(F.col("key").alias("v"), F.col(column).alias("b"))
+        return pairs.join(a, "u").join(b, "v")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = ([x["n"] for x in b.column(k).to_pylist()] for k in (2, 3))
+            s, t = ([x["sketch"] for x in b.column(k).to_pylist()] for k in (2, 3))
+            ok = [SHARE_OF * min(x) >= SHARE * max(x) and least_difference(*y) <= sum(x) - 2 * pair_overlap(*x) for x, y in zip(zip(n, m, strict=True), zip(s, t, strict=True), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = sets(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in got], pa.binary())], names=["key", "set"])
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c = ([np.frombuffer(x, np.int64) for x in b.column(k).to_pylist()] for k in (2, 3))
             ok = pa.array([linked(x, y) for x, y in zip(a, c, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(ok)
-
-    both = pairs.join(s.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(s.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    out = materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
-    discard(s, pairs)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(ok)
+
+    some = picked(heads.select("key", F.struct("n", "sketch").alias("s")), "key", chosen_by(spark, ends(pairs)))
+    left = materialize(both(pairs.select("u", "v"), some, "s").select("u", "v", "a", "b").mapInArrow(near, "u long, v long"), "pairs")
+    discard(pairs)
+    named = heads.join(ends(left).distinct(), "key", "left_semi").select("key", "node", "th")
+    named = materialize(named, "named")
+    texts = picked(docs.select("doc_id", "th", "text"), "doc_id", chosen_by(spark, named.select("node")))
+    texts = texts.join(named.withColumnRenamed("node", "doc_id"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("key", "text")
+    s = materialize(texts.mapInArrow(whole, "key long, set binary"), "sets")
+    out = materialize(both(left, s, "set").select("u", "v", "a", "b").mapInArrow(probed, "u long, v long"), "links")
+    discard(s, left, named)
     return out
 
 
-def short_lists(docs: DataFrame, nodes: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
-    """(shingle, node, component, n, place) of the short lists that lie in more than one component.
+def short_lists(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
+    """(shingle, key, place) of the short lists that hold more than one key; place: the shingle's place in the set's order.
 
-    nodes: (node, component, n). place: the shingle's place in the set's order. Postings travel as packed arrays, one for each batch and bucket of shingles.
+    Postings travel as packed columns, a message for each MESSAGE of them and bucket of shingles.
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(often))  # at most FREQUENT numbers
 
+    def messages(held: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for _, s in held])
+        shingle, key = np.concatenate([s for _, s in held]), np.repeat(np.array([k for k, _ in held], np.int64), sizes)
+        place = (np.arange(len(shingle)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
+        bucket = ((shingle.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        columns = [[x.tobytes() for x in np.split(c[order], cuts)] for c in (shingle, key, place)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order][np.concatenate([[0], cuts])], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "shingle", "key", "place"])
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
+        held: dict[int, np.ndarray] = {}
+        size = 0
         for b in batches:
-            out = []
-            for s in sets(b.column(1).to_pylist()):
-                if len(frequent) and len(s):
+            for s in sets(b.column(0).to_pylist()):
+                if not len(s) or (key := key_of(s)) in held:
+                    continue
+                if len(frequent):
                     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
-                out.append(s[: len(s) - least_overlap(len(s)) + 1].tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "short"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            short = [np.frombuffer(x, np.int64) for x in b.column("short").to_pylist()]
-            if not short:
-                continue
-            sizes = np.fromiter(map(len, short), np.int64, len(short))
-            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            node, component, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for c in ("node", "component", "n"))
-            rows = np.stack([np.concatenate(short), node, component, n << 32 | place], axis=1)
-            bucket = (rows[:, 0].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order].astype(np.int64)
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            parts = np.split(rows, cuts)
-            firsts = bucket[np.concatenate([[0], cuts])] if len(bucket) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(firsts if len(bucket) else [], pa.int64()), pa.array([p.tobytes() for p in parts] if len(bucket) else [], pa.binary())], names=["bucket", "postings"])
+                held[key] = s[: len(s) - least_overlap(len(s)) + 1].copy()
+                size += len(held[key])
+                if size >= MESSAGE:
+                    yield messages([*held.items()])
+                    held, size = {}, 0
+        if size:
+            yield messages([*held.items()])
 
     def several(key: tuple, table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("postings").to_pylist()), np.int64).reshape(-1, 4)
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        sizes = np.diff(np.concatenate([first, [len(rows)]]))
-        keep = np.repeat(np.minimum.reduceat(rows[:, 2], first) < np.maximum.reduceat(rows[:, 2], first), sizes)
-        rows = rows[keep]
-        return pa.table([pa.array(x) for x in (*rows[:, :3].T, rows[:, 3] >> 32, rows[:, 3] & 0xFFFFFFFF)], names=["shingle", "node", "component", "n", "place"])
-
-    short = docs.select("doc_id", "text").mapInArrow(prefixes, "node long, short binary")
-    packed = short.join(nodes, "node").select("node", "component", "n", "short").mapInArrow(pack, "bucket long, postings binary")
-    return packed.groupBy("bucket").applyInArrow(several, "shingle long, node long, component long, n long, place long")
-
+        shingle, owner, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("shingle", np.int64), ("key", np.int64), ("place", np.uint32)))
+        order = np.lexsort((owner, shingle))
+        shingle, owner, place = shingle[order], owner[order], place[order]
+        new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+        own = new | np.concatenate([[True], owner[1:] != owner[:-1]])
+        shingle, owner, place, new = shingle[own], owner[own], place[own], new[own]
+        sizes = np.diff(np.append(np.flatnonzero(new), len(shingle)))
+        keep = np.repeat(sizes > 1, sizes)
+        return pa.table([pa.array(shingle[keep]), pa.array(owner[keep]), pa.array(place[keep].astype(np.int64))], names=["shingle", "key", "place"])
 
-def labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """postings with the nodes' components as they are now; lists of one component are left out."""
-    now = postings.drop("component").join(labels.select("node", "component"), "node")
-    several = now.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    return now.join(several.select("shingle"), "shingle", "left_semi")
+    packed = docs.select("text").mapInArrow(prefixes, "bucket long, shingle binary, key binary, place binary")
+    return packed.groupBy("bucket").applyInArrow(several, "shingle long, key long, place long")
 
 
-def headed(lists: DataFrame, turn: int) -> DataFrame:
-    """(u, v): for each node the head, of all its lists' heads in other components, with which it shares most of them."""
-    heads = lists.groupBy("shingle").agg(F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", F.lit(turn))).alias("h"))
-    met = lists.join(heads, "shingle").where("component <> h.component").where(SHARE_OF * F.least("n", "h.n") >= SHARE * F.greatest("n", "h.n"))
-    counts = met.groupBy("node", F.col("h.node").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    return counts.groupBy(F.col("node").alias("u")).agg(F.max_by("v", F.struct("c", "v")).alias("v"))
+def merged(lists: DataFrame, labels: DataFrame, entries: int) -> DataFrame:
+    """Candidate pairs (u, v) of keys of different components that share enough of their short lists.
 
-
-def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels after the components of the edges' ends have been joined."""
-    ends = edges.join(labels.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u").join(labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v")
-    moved = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-    moved = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return materialize(labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"), "n"), "nodes")
-
-
-def merged(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs (u, v) of different components: each query's short lists are brought to it and merged.
-
-    Components are ranked by size, then by id; of a pair the one in the higher component is always the query, so all that
-    a pair shares is counted in one place, and the entries of a list's highest component need not travel. A list of more
-    than PART entries travels in several parts.
+    labels: (key, component, n). A list's entries outside its largest component meet all of its entries, so the pairs inside a component are never
+    made. Of a list of more than PART entries each part goes to a group of its own, with all that lies outside.
     """
-    weight = labels.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    lists = lists.join(weight, "component")
-    top = lists.groupBy("shingle").agg(F.max(F.struct("weight", "component")).alias("t"), F.count(F.lit(1)).alias("rest"))
-    all_ = lists.join(top.select("shingle", F.col("t.component").alias("top"), "rest"), "shingle")
-    outside = all_.where("component <> top").withColumn("_part", F.pmod(F.xxhash64("node"), F.ceil(F.col("rest") / PART)))
-    packed = outside.groupBy("shingle", "_part").agg(F.collect_list("node").alias("nodes"), F.collect_list("component").alias("components"), F.collect_list("weight").alias("weights"), F.collect_list("n").alias("sizes"), F.collect_list("place").alias("places"))
-    queries = all_.select("shingle", F.col("node").alias("q"), F.col("component").alias("qc"), F.col("n").alias("qn"), F.col("place").alias("qp"), F.col("weight").alias("qw"))
-    rows = queries.join(packed, "shingle").drop("shingle", "_part").repartition("q").sortWithinPartitions("q")
-    rows = rows.select("q", "qc", "qn", "qp", "qw", "nodes", "components", "weights", "sizes", "places")
+    now = lists.join(labels, "key").repartition("shingle")
+    sizes = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
+    top = sizes.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("t"), F.sum("c").alias("all")).where("t.c < all")
+    now = now.join(top.select("shingle", F.col("t.component").alias("top"), F.ceil(F.col("all") / PART).cast("int").alias("parts")), "shingle")
+    outside = F.col("component") != F.col("top")
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    buckets = max(8, entries // ENTRIES)
+    now = now.withColumn("own", own).withColumn("rank", outside.cast("int"))
+    now = now.withColumn("part", F.explode(F.when(F.col("rank") == 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+    now = now.withColumn("bucket", F.when(F.col("parts") > 1, F.col("shingle")).otherwise(F.pmod(F.xxhash64("shingle"), F.lit(buckets))))
+    names = ["shingle", "key", "component", "n", "place", "rank"]
+    counts = ["shared", "mine", "theirs", "n", "m"]
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
+        rows, here = rows[order := np.lexsort((rows[:, 2], rows[:, 0]))], (table.column("own").to_numpy() == key[1].as_py())[order]
+        found = [*tally(rows[here], rows[rows[:, 5] == 1])]
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 7
+        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["u", "v", *counts])
+
+    pairs = now.select("bucket", "part", "own", *names).groupBy("bucket", "part").applyInArrow(run, "u long, v long, " + ", ".join(f"{c} long" for c in counts))
+    total = pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in counts[1:]])
+    return total.where(may_link(*[F.col(c) for c in counts])).select("u", "v")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (doc_id, th, text), th a hash of text: seen, a row for each document; heads, one for each set (key, its least
+    doc_id as node, that row's th); and edges (u, v) between keys, which join all linked sets. Rows without a doc_id are in
+    seen only."""
+    seen = materialize(first_pass(docs), "shingles")
+    docs = docs.where("doc_id is not null and text is not null")
+    rest = F.min(F.struct("doc_id", "th")).alias("least")
+    heads = seen.where("key is not null and doc_id is not null").groupBy("key").agg(rest, F.first("n").alias("n"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
+    heads = materialize(heads.select("key", F.col("least.doc_id").alias("node"), F.col("least.th").alias("th"), "n", "low", "sketch"), "heads")
+    low = heads.select("key", "n", F.explode("low").alias("shingle"))
+    least = low.groupBy("shingle").agg(F.min("key").alias("v"), F.max("key").alias("last")).where("v < last")
+    stars = low.join(least, "shingle").where("key > v").groupBy(F.col("key").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    early = verified(docs, heads, materialize(stars.where(F.col("shared") >= F.least(F.lit(STAR), F.col("n"))).select("u", "v"), "stars"))
+    joined = components(early).withColumnRenamed("node", "key")
+    labels = heads.select("key", "n").join(joined, "key", "left").select("key", F.coalesce("component", "key").alias("component"), "n")
+    heavy = seen.where("n < 0").select(F.inline("often")).groupBy("shingle").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "shingle").limit(FREQUENT)
+    often = np.array([r[0] for r in heavy.collect()], np.int64)
+    total = heads.agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, int(total * POSTING * (SHARE_OF - SHARE) / SHARE_OF / BUCKET_BYTES))
+    lists = materialize(short_lists(docs, often, buckets), "lists")
+    late = verified(docs, heads, materialize(merged(lists, labels, lists.count()), "candidates"))
+    discard(lists)
+    return seen.where("n >= 0").select("doc_id", "th", "n", "key"), heads, early.unionByName(late)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-            q, n, at, node, m, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, v = divide_skip(q, n, at, node, m, place)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        held: list[list[np.ndarray]] = []  # entries of queries that may go on in the next batch
-        for b in batches:
-            plain = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            counts = np.diff(b.column(5).offsets.to_numpy())
-            q, qc, n, at, qw = (np.repeat(x, counts) for x in plain)
-            node, component, weight, m, place = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(5, 10))
-            use = (weight < qw) | (weight == qw) & (component < qc)
-            entries = [x[use] for x in (q, n, at, node, m, place)]
-            if held and b.num_rows and len(held[-1][0]) and held[-1][0][-1] != plain[0][0]:
-                yield emit(held)
-                held = []
-            last = entries[0] == plain[0][-1] if b.num_rows else np.empty(0, bool)
-            if b.num_rows and plain[0][0] != plain[0][-1]:
-                held.append([x[~last] for x in entries])
-                yield emit(held)
-                held = [[x[last] for x in entries]]
-            else:
-                held.append(entries)
-        if held:
-            yield emit(held)
-
-    return rows.mapInArrow(run, "u long, v long").distinct()
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each document (doc_id, text); the component is its least doc_id."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialize(first_pass(docs), "shingles")
-    known = docs.where("doc_id is not null and text is not null")
-    heads = seen.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("low").alias("low"))
-    heads = materialize(heads, "heads")
-    low = heads.select("node", F.explode("low").alias("shingle"))
-    least = low.groupBy("shingle").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last")
-    stars = low.join(least, "shingle").where("node > v").groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"))
-    size = heads.groupBy(F.col("node").alias("u")).agg(F.max("n").alias("n"))
-    stars = stars.join(size, "u").where(F.col("shared") >= F.least(F.lit(STAR), F.col("n"))).select("u", "v")
-    early = verified(known, materialize(stars, "stars"))
-    joined = components(early)
-    nodes = heads.join(joined, "node", "left").groupBy("node").agg(F.min(F.coalesce("component", "node")).alias("component"), F.max("n").alias("n"))
-    nodes = materialize(nodes, "nodes")
-    heavy = seen.where("n < 0").select(F.inline("often")).groupBy("shingle").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "shingle").limit(FREQUENT)
-    often = np.array([r[0] for r in heavy.collect()], np.int64)
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, int(total * 32 * (SHARE_OF - SHARE) / SHARE_OF / BUCKET_BYTES))
-    lists = materialize(short_lists(known, nodes, often, buckets).drop("component"), "lists")
-    edges = [early]
-    for turn in range(ROUNDS):
-        now = materialize(labelled(lists, nodes), "lists")
-        discard(lists)
-        found = verified(known, materialize(headed(now, turn), "heads"))
-        lists = now
-        if not found.limit(1).count():
-            break
-        edges.append(found)
-        nodes = joined_labels(nodes, found)
-    now = materialize(labelled(lists.drop("component"), nodes), "lists")
-    discard(lists)
-    edges.append(verified(known, materialize(merged(now, nodes), "candidates")))
-    discard(now)
-    final = components(reduce(DataFrame.unionByName, edges))
-    by_key = heads.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    out = seen.where("n >= 0").select("doc_id", "n", "key").join(by_key, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    seen, heads, edges = links(hashed(docs))
+    node = heads.select("key", "node")
+    ends = edges.join(node.select(F.col("key").alias("u"), F.col("node").alias("a")), "u").join(node.select(F.col("key").alias("v"), F.col("node").alias("b")), "v")
+    # Rows of one doc_id are one node: it is joined with the nodes of all its sets.
+    own = seen.where("key is not null and doc_id is not null").select("doc_id", "key").distinct().join(node, "key").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    final = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(own))
+    out = seen.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def leaders(docs: DataFrame) -> DataFrame:
+    """(doc_id, th): of each group of linked texts the row with the least doc_id, of texts without a word each one.
+
+    th is xxhash64(text). Groups are of texts: rows that share a doc_id only are not of one group. Rows without a doc_id
+    are left out.
+    """
+    seen, heads, edges = links(hashed(docs))
+    final = components(edges).withColumnRenamed("node", "key")
+    groups = heads.select("key", "node", "th").join(final, "key", "left").select(F.coalesce("component", "key").alias("component"), F.struct("node", "th").alias("row"))
+    best = groups.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.node").alias("doc_id"), "row.th")
+    return best.unionByName(seen.where("key is null and doc_id is not null").select("doc_id", "th").distinct())
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,10 +246,36 @@ def test_ngram_join_equals_brute_force(spark):
 def test_divide_skip_and_probe():
     a, b = np.arange(0, 100), np.arange(10, 100)
     assert ngram_join.linked(a, b) and not ngram_join.linked(a, b[:60]) and not ngram_join.linked(a[:0], a[:0])
-    q, n, at = np.array([5, 5, 5, 5]), np.full(4, 10), np.array([0, 0, 1, 5])
-    node, m, place = np.array([1, 2, 2, 3]), np.array([10, 10, 10, 10]), np.array([0, 0, 1, 5])
-    u, v = ngram_join.divide_skip(q, n, at, node, m, place)
-    assert u.tolist() == [5, 5] and v.tolist() == [1, 2]  # the last one's sets have missed five shingles each
+    own = np.array([(100 + p, 5, 5, 10, p, 0) for p in (0, 1, 5)])  # shingle, key, component, n, place, rank
+    others = np.array([(100, 1, 1, 10, 0, 1), (100, 2, 2, 10, 0, 1), (101, 2, 2, 10, 1, 1), (105, 3, 3, 10, 5, 1), (105, 4, 5, 10, 5, 1), (105, 6, 6, 90, 5, 1)])
+    (u, v, *counts), = ngram_join.tally(own, others)
+    assert list(zip(u.tolist(), v.tolist(), counts[0].tolist(), strict=True)) == [(1, 5, 1), (2, 5, 2), (3, 5, 1)]
+    assert ngram_join.may_link(*counts).tolist() == [True, True, False]  # the last one's sets have missed five shingles each
+
+
+def test_parity_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(11)
+    for n, m, common in ((100, 90, 80), (500, 400, 390), (40, 35, 0), (3, 3, 3), (1000, 1300, 900)):
+        x = np.unique(rng.integers(-(1 << 63), 1 << 63, n + m, dtype=np.int64))
+        a, b = np.sort(x[:n]), np.sort(np.concatenate([x[:common], x[n : n + m - common]]))
+        got, true = ngram_join.least_difference(ngram_join.sketch(a), ngram_join.sketch(b)), len(np.setxor1d(a, b))
+        assert true / 3 <= got <= true
+
+
+def test_ngram_join_of_repeated_ids_and_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART", 4)
+    monkeypatch.setattr(ngram_join, "PAIRS", 10)
+    monkeypatch.setattr(ngram_join, "STAR", 99)  # nothing is joined early
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[:39] + [f"own{i}"])) for i in range(30)] + [(100 + i, " ".join(words + [f"x{i}_{j}" for j in range(i)])) for i in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs(spark, rows)).collect()}
+    assert got == jaccard_components(rows)
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(5, a), (5, b), (1, a), (2, b), (9, b), (5, a), (7, None), (7, b + " x"), (None, a)]
+    got = sorted((r.doc_id or 0, r.component_id) for r in ngram_join.link(docs(spark, rows)).collect())
+    assert got == [(0, None)] + [(i, 1) for i in (1, 2, 5, 5, 5, 7, 7, 9)]
+    kept = sorted(r.doc_id for r in ngram_join.leaders(docs(spark, rows)).collect())
+    assert kept == [1, 2, 7]
 
 
 # -- 7 ------------------------------------------------------------------------------------------------------------------
