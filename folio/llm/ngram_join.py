@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ WORDS, SHARE_OF, SHARE = 5, 100, 75  # linked when SHARE_OF * intersection >= SH
 #: Lowest hashes by which near copies find each other early, and how many they share; bound of the frequent shingles;
 #: entries of a list's part; shingles that a worker counts at once; pairs that it counts at once.
 LOWEST, STAR, FREQUENT, PART, COUNTED, PAIRS = 8, 3, 200_000, 2048, 4_000_000, 2_000_000
+#: Rounds of the early comparisons.
+ROUNDS = 2
 #: Bytes of a posting (shingle, key, place), bytes of them that a bucket should hold, postings of a message to the buckets,
 #: entries that a bucket of the merge should hold.
 POSTING, BUCKET_BYTES, MESSAGE, ENTRIES = 18, 24_000_000, 500_000, 250_000
@@ -380,6 +383,23 @@ def merged(lists: DataFrame, labels: DataFrame, entries: int) -> DataFrame:
     return total.where(may_link(*[F.col(c) for c in counts])).select("u", "v")
 
 
+def starred(heads: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(u, v): keys and, of the least ones of their LOWEST lists, those that share STAR of these and lie in other components.
+
+    Least is by doc_id in the first turn (what was there first is what others copy), then by a hash.
+    """
+    low = heads.select("key", "node", "n", F.explode("low").alias("shingle"))
+    rank = F.struct("node", "key") if not turn else F.struct(F.xxhash64("key", F.lit(turn)), "key")
+    least = low.groupBy("shingle").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle", F.col("least.key").alias("v"))
+    pairs = low.join(least, "shingle").where("key <> v").groupBy(F.col("key").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    pairs = pairs.where(F.col("shared") >= F.least(F.lit(STAR), F.col("n"))).select("u", "v")
+    if not turn:
+        return pairs
+    now = labels.select("key", "component")
+    both = pairs.join(now.toDF("u", "a"), "u").join(now.toDF("v", "b"), "v")
+    return both.where("a <> b").select("u", "v")
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From (doc_id, th, text), th a hash of text: seen, a row for each document; heads, one for each set (key, its least
     doc_id as node, that row's th); and edges (u, v) between keys, which join all linked sets. Rows without a doc_id are in
@@ -389,20 +409,21 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rest = F.min(F.struct("doc_id", "th")).alias("least")
     heads = seen.where("key is not null and doc_id is not null").groupBy("key").agg(rest, F.first("n").alias("n"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
     heads = materialize(heads.select("key", F.col("least.doc_id").alias("node"), F.col("least.th").alias("th"), "n", "low", "sketch"), "heads")
-    low = heads.select("key", "n", F.explode("low").alias("shingle"))
-    least = low.groupBy("shingle").agg(F.min("key").alias("v"), F.max("key").alias("last")).where("v < last")
-    stars = low.join(least, "shingle").where("key > v").groupBy(F.col("key").alias("u"), "v").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    early = verified(docs, heads, materialize(stars.where(F.col("shared") >= F.least(F.lit(STAR), F.col("n"))).select("u", "v"), "stars"))
-    joined = components(early).withColumnRenamed("node", "key")
-    labels = heads.select("key", "n").join(joined, "key", "left").select("key", F.coalesce("component", "key").alias("component"), "n")
+    labels, edges = heads.select("key", "n", F.col("key").alias("component")), []
+    for turn in range(ROUNDS):
+        early = verified(docs, heads, materialize(starred(heads, labels, turn), "stars"))
+        edges.append(early)
+        joined = components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("node", "key")
+        labels = heads.select("key", "n").join(joined, "key", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
+    labels = materialize(labels, "labels")
     heavy = seen.where("n < 0").select(F.inline("often")).groupBy("shingle").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "shingle").limit(FREQUENT)
     often = np.array([r[0] for r in heavy.collect()], np.int64)
     total = heads.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total * POSTING * (SHARE_OF - SHARE) / SHARE_OF / BUCKET_BYTES))
     lists = materialize(short_lists(docs, often, buckets), "lists")
     late = verified(docs, heads, materialize(merged(lists, labels, lists.count()), "candidates"))
-    discard(lists)
-    return seen.where("n >= 0").select("doc_id", "th", "n", "key"), heads, early.unionByName(late)
+    discard(lists, labels)
+    return seen.where("n >= 0").select("doc_id", "th", "n", "key"), heads, reduce(DataFrame.unionByName, [*edges, late])
 
 
 def hashed(docs: DataFrame) -> DataFrame:
