@@ -44,34 +44,44 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays; of equal rows of one doc_id, one.
+    """Of each group of linked texts the row with the least doc_id stays; of equal texts of one doc_id, one row.
 
-    Rows without a doc_id belong to no group, and stay.
+    It is rows that are kept or go, by doc_id and text: another text of the same doc_id stays unless its own group has a
+    lesser row. Texts without a word are in no group; of equal ones of one doc_id, one stays. Rows without a doc_id belong
+    to no group, and all stay. Empty tables stay empty.
     """
     tune(spark)
-    chosen = ngram_join.link(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null")
-    kept = named.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    doc, text = _unused(docs, "_doc"), _unused(docs, "_th")
+    chosen = ngram_join.leaders(docs.select("doc_id", "text")).toDF(doc, text)
+    named = docs.where("doc_id is not null").withColumn(doc, F.col("doc_id").cast("long")).withColumn(text, F.xxhash64("text"))
+    kept = named.join(chosen, [doc, text], "left_semi").dropDuplicates([doc, text])
     return kept.select(*_names(docs)).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents into which a benchmark item leaks."""
+    """Drops documents into which a benchmark item leaks, row by row: rows that share a doc_id are judged by their own texts.
+
+    Null and empty texts hold no leak and stay; an empty benchmark drops nothing.
+    """
     tune(spark)
     return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the text; n_chars follows the text."""
+    """Masks personal data in the text; n_chars, if there is one, follows the text. Every row stays; a null text stays null."""
     tune(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens, ids_sha256, decoded_sha256: each whole text as tokens, with digests of ids and decoding."""
+    """doc_id, lang, source, ids, n_tokens, ids_sha256, decoded_sha256: each whole text as tokens, with digests of ids and decoding.
+
+    A row for each row, repeated ones included; a null text has no tokens. lang and source are left out where docs has none.
+    """
     tune(spark)
-    return bpe.digest(docs.select("doc_id", "lang", "source", "text"), bpe.default_vocabulary(), keep=["doc_id", "lang", "source"], out="ids")
+    keep = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return bpe.digest(docs.select(*keep, "text"), bpe.default_vocabulary(), keep=keep, out="ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
