@@ -5,7 +5,7 @@ longest non-overlapping matches of the item's words in the document's, so passag
 moved; an item leaks where tiles cover at least COVERAGE of its words.
 
 The benchmark is held in blocks of at most BLOCK_CHARS characters: one pass over the documents for each block, so what is
-broadcast has a fixed bound, however large the benchmark.
+held by the driver and broadcast has a fixed bound, however large the benchmark.
 
 Null and empty texts leak nothing. Items of fewer than SEED words, or null, are never matched. Repeated documents each
 have their rows; an item_id given twice is tested for each of its texts.
@@ -13,15 +13,18 @@ have their rows; an item_id given twice is tested for each of its texts.
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import arrow_append, load, tune
+from folio.llm.common import arrow_append, discard, load, materialize, tune
 
 WORD = re.compile(r"[^\W_]+")
 #: Words of a seed, and so of the shortest tile; the share of an item's words that must lie in tiles.
@@ -49,7 +52,7 @@ def tile(item: list[int], text: list[int], least: int = SEED) -> list[tuple[int,
 
     Running Karp-Rabin: at search length s, unmarked runs of s words that hash alike are extended; a match over 2s starts
     again at its length; else the matches of at least s are marked from the longest, and s is halved down to `least`.
-    WALL in text matches nothing.
+    What is left of a match that a longer one has covered in part goes back into the queue. WALL in text matches nothing.
     """
     free_i, free_t = [True] * len(item), [x != WALL for x in text]
     tiles: list[tuple[int, int, int]] = []
@@ -80,19 +83,30 @@ def tile(item: list[int], text: list[int], least: int = SEED) -> list[tuple[int,
             for a in table.get(h, ()):
                 if item[a : a + s] != text[b : b + s]:
                     continue
+                if a and b and free_i[a - 1] and free_t[b - 1] and item[a - 1] == text[b - 1]:
+                    continue  # part of the match that begins one word before
                 n = s
                 while a + n < len(item) and b + n < len(text) and free_i[a + n] and free_t[b + n] and item[a + n] == text[b + n]:
                     n += 1
-                found.append((n, a, b))
+                found.append((-n, a, b))
                 longest = max(longest, n)
         if longest > 2 * s:
             s = longest
             continue
-        for n, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if n >= s and all(free_i[a : a + n]) and all(free_t[b : b + n]):
-                free_i[a : a + n] = [False] * n
-                free_t[b : b + n] = [False] * n
-                tiles.append((a, b, n))
+        heapq.heapify(found)
+        while found:
+            n, a, b = heapq.heappop(found)
+            free = [x and y for x, y in zip(free_i[a : a - n], free_t[b : b - n], strict=True)]
+            if all(free):
+                free_i[a : a - n] = free_t[b : b - n] = [False] * -n
+                tiles.append((a, b, -n))
+                continue
+            start = 0
+            for k, ok in enumerate([*free, False]):
+                if not ok:
+                    if k - start >= s:
+                        heapq.heappush(found, (start - k, a + start, b + start))
+                    start = k + 1
         if s == least:
             return sorted(tiles)
         s = max(least, s // 2)
@@ -171,29 +185,32 @@ class Items:
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("matched_words", T.LongType()), T.StructField("item_words", T.LongType()), T.StructField("n_tiles", T.LongType())])
 
 
-def blocks(benchmark: DataFrame) -> list[Items]:
-    """The benchmark in blocks of bounded size, split by a hash of the text."""
+def blocks(benchmark: DataFrame) -> tuple[int, Iterator[Items]]:
+    """How many blocks of bounded size the benchmark has, split by a hash of the text; and each, gathered when it is asked for."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     chars = rows.agg(F.sum(F.length("text").cast("double"))).first()[0] or 0
     n = int(chars // BLOCK_CHARS) + 1
-    if n == 1:
-        return [Items(sorted(tuple(r) for r in rows.collect()))]
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n))
-    return [Items(sorted(tuple(r) for r in rows.where(part == k).collect())) for k in range(2 * n)]
+    n = 2 * n if n > 1 else 1
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return n, (Items(sorted((tuple(r) for r in rows.where(part == k).collect()), key=lambda r: (r[0] is None, r))) for k in range(n))
 
 
-def with_leaks(df: DataFrame, items: Items, text: str = "text", keep: list[str] | None = None, out: str = "leaks") -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(items)
+def with_leaks(df: DataFrame, shared: Broadcast, text: str = "text", keep: list[str] | None = None, out: str = "leaks") -> DataFrame:
     return arrow_append(df, T.StructType([T.StructField(out, T.ArrayType(LEAK))]), lambda c: {out: shared.value.leaks(c[0].to_pylist())}, [text], keep)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """A row for each document and item that leaks into it."""
     keep = keep or ["doc_id"]
-    parts = [with_leaks(df, b, text, keep).where(F.size("leaks") > 0).select(*keep, F.inline("leaks")) for b in blocks(benchmark)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    n, parts = blocks(benchmark)
+    out: DataFrame | None = None
+    for items in parts:
+        shared = df.sparkSession.sparkContext.broadcast(items)
+        found = with_leaks(df, shared, text, keep).where(F.size("leaks") > 0).select(*keep, F.inline("leaks"))
+        if n > 1:  # one block at a time: its leaks are written, and it is released before the next is gathered
+            found = materialize(found, "leaks")
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -203,8 +220,14 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     name = "_leaks"
     while name in df.columns:
         name += "_"
-    for b in blocks(benchmark):
-        df = with_leaks(df, b, text, out=name).where(F.size(name) == 0).select(*columns)
+    n, parts = blocks(benchmark)
+    for items in parts:
+        shared, before = df.sparkSession.sparkContext.broadcast(items), df
+        df = with_leaks(df, shared, text, out=name).where(F.size(name) == 0).select(*columns)
+        if n > 1:
+            df = materialize(df, "clean")
+            shared.destroy()
+            discard(before)
     return df
 
 
