@@ -41,13 +41,19 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 NUMBER_RUN = re.compile(r"(?<!\w)(?:(?:%s)(?:[ -]|(?!\w))){4,}" % "|".join(sorted(DIGITS, key=len, reverse=True)), re.I)
+# Four parts of digits, or of one to three names of digits, with "dot" words between them: an address.
+PART = r"(?:[0-9]{1,3}|(?:%s)(?:[ -](?:%s)){0,2})" % (("|".join(sorted(DIGITS.keys() - {"plus"}, key=len, reverse=True)),) * 2)
+DOTTED = re.compile(rf"(?<![\w.]){PART}(?:[ \t]+(?:dot|punto|punkt|point)[ \t]+{PART}){{3}}(?![\w])", re.I)
 NUMBER_WORD = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(sorted(DIGITS, key=len, reverse=True)), re.I)
-BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|punto|arroba|punkt|point)\s*[\])}>]\s*", re.I)
+# Blanks before a bracket are tried only from where they begin.
+BRACKETED = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(at|dot|punto|arroba|punkt|point)\s*+[\])}>]\s*+", re.I)
 # The endings that a bare "dot" must lead to.
 ENDINGS = "com org net edu gov mil int info io co biz me tv dev app ai eu uk de fr es it nl ch at be pl us ca au jp cn in br mx".split()
+# The labels, besides the first and the ending, of a host name that is written with bare dots.
+LABELS = 20
 # The bare dots that may follow a bare "at" word; "at this point in" is plain English, so "point" needs "arroba".
 BARE_WORDS = {"at": "dot|punto|punkt", "arroba": "dot|punto|punkt|point"}
-SPACED = re.compile(r"(?<=[A-Za-z0-9_%%+-])(?:%s)[ \t]+(?:%s)(?![A-Za-z0-9-])" % ("|".join(rf"[ \t]+{at}[ \t]+[A-Za-z0-9-]+(?:[ \t]+(?:{dots})[ \t]+[A-Za-z0-9-]+)*?[ \t]+(?:{dots})" for at, dots in BARE_WORDS.items()), "|".join(ENDINGS)), re.I)
+SPACED = re.compile(r"(?<=[A-Za-z0-9_%%+-])(?:%s)[ \t]+(?:%s)(?![A-Za-z0-9-])" % ("|".join(rf"[ \t]+{at}[ \t]+[A-Za-z0-9-]+(?:[ \t]+(?:{dots})[ \t]+[A-Za-z0-9-]+){{0,%d}}?[ \t]+(?:{dots})" % LABELS for at, dots in BARE_WORDS.items()), "|".join(ENDINGS)), re.I)
 BARE = re.compile(r"[ \t]+(at|arroba|dot|punto|punkt|point)[ \t]+", re.I)
 SYMBOL = {"at": "@", "arroba": "@", "dot": ".", "punto": ".", "punkt": ".", "point": "."}
 
@@ -144,6 +150,17 @@ def spelled_digits(t: Tape) -> None:
     t.rewrite(edits)
 
 
+def dotted_numbers(t: Tape) -> None:
+    """In an address of four parts the words for dots become dots and names of digits become digits."""
+    edits = []
+    for m in DOTTED.finditer(t.text):
+        names = list(NUMBER_WORD.finditer(t.text, m.start(), m.end()))
+        follows = {a.end(): b.start() for a, b in zip(names, names[1:], strict=False) if b.start() - a.end() == 1}
+        edits += [(w.start(), follows.get(w.end(), w.end()), DIGITS[w.group().lower()]) for w in names]
+        edits += [(w.start(), w.end(), ".") for w in BARE.finditer(t.text, m.start(), m.end())]
+    t.rewrite(sorted(edits))
+
+
 def at_and_dot(t: Tape) -> None:
     """Brackets always disguise; bare words only where "at" is followed by names, a "dot" between them, up to a known ending."""
     t.rewrite([(m.start(), m.end(), SYMBOL[m.group(1).lower()]) for m in BRACKETED.finditer(t.text)])
@@ -154,7 +171,7 @@ def at_and_dot(t: Tape) -> None:
     t.rewrite(edits)
 
 
-TRANSDUCERS = (homoglyphs, spelled_digits, at_and_dot)
+TRANSDUCERS = (homoglyphs, dotted_numbers, spelled_digits, at_and_dot)
 
 
 def added_spans(s: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
