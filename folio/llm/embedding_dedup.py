@@ -3,15 +3,18 @@
 Equal vectors become one representative with a weight. Representatives are dealt to shards by hash, a graph is built for
 each shard and written to a table, and every representative is searched for in every shard's graph. A search's beam is
 widened while all that it holds lies above the threshold, and the shard's base beam is widened until an audit against
-brute force passes: the mean over the queries with links of the part found is AUDIT, for those of small groups also by
-themselves, self matches left out. If the widest beam fails too, the block is compared with the whole shard by brute
-force. Links are decided by the cosine in double precision.
+brute force passes: the mean over the audited queries with links of the part found is AUDIT, for those of small groups
+also by themselves, self matches left out; where none of them has a link, NEAREST of their nearest neighbours are found.
+If the widest beam fails too, the block is compared with the whole shard by brute force. Links are decided by the cosine
+in double precision. Queries go through a shard in slices, of which only counts and a forest are kept.
 
 A task returns for each query the weight of the links it found, and a spanning forest of them (not the pairs), so what
 travels is linear in the vectors also inside large groups; the forests are joined into components.
 
 Null or empty vectors, zero vectors and vectors with a null or non-finite component link with nothing. Vectors of
-different lengths do not link. Null vec_id: no links, no component, not kept. Rows of one vec_id are one node.
+different lengths do not link. Null vec_id: no links, no component, not kept. Rows of one vec_id are one node, so they
+share a component, also when their vectors differ; n_links is of the row's own vector, and counts each other vec_id that
+holds a linked vector once for each such vector.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, load, materialize, tune
+from folio.llm.common import components, discard, load, materialize, tune
 
-THRESHOLD, AUDIT = 0.95, 0.99
+THRESHOLD, AUDIT, NEAREST = 0.95, 0.99, 0.9
 #: Links of a node above the ground layer (twice as many there), beam while building, first and last base beam of searches.
 LINKS, BUILD_BEAM, BEAM, MOST_BEAM = 12, 40, 24, 768
 #: A query of at most so many links is of a small group, which is audited apart; multiplications of a block of brute force.
 SMALL, BRUTE = 24, 1 << 24
 #: Shards at least, vectors of a shard and of a block of queries at most, audited queries of a block, bytes of a graph's part.
-SHARDS, SHARD_ROWS, BLOCK_ROWS, AUDITED, PART_BYTES = 6, 200_000, 20_000, 128, 8_000_000
+SHARDS, SHARD_ROWS, BLOCK_ROWS, AUDITED, PART_BYTES = 6, 200_000, 100_000, 128, 8_000_000
+#: (query, node) pairs that a slice of queries can have at most, and its queries.
+SLICE_PAIRS, SLICE = 1 << 24, 4096
 
 
 def level_of(ids: np.ndarray) -> np.ndarray:
@@ -256,50 +261,72 @@ def passes(truth: np.ndarray, hit: np.ndarray) -> bool:
     return all(not some.any() or part[some].mean() >= AUDIT for some in (n > 0, (n > 0) & (n <= SMALL)))
 
 
-def links(g: Hnsw, shard: np.ndarray, q: np.ndarray, beam: int = BEAM, qid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) numbers of the links of q, verified in double precision. shard, q: the vectors as given; qid: q's nodes.
-
-    The base beam is widened until the audit passes: brute force over a sample of the queries, spread evenly, without
-    self matches. If it never does, brute force takes the search's place.
-    """
-    if not len(q):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    norms, qn = np.linalg.norm(shard, axis=1), np.linalg.norm(q, axis=1)
+def base_beam(g: Hnsw, shard: np.ndarray, q: np.ndarray, norms: np.ndarray, qn: np.ndarray, beam: int, qid: np.ndarray | None) -> int:
+    """The first beam from `beam` on with which the audit passes; 0 if none up to MOST_BEAM does."""
+    some = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
+    q, qn = q[some], qn[some]
     unit = (q / qn[:, None]).astype(np.float32)
-    audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-    truth = (q[audited] @ shard.T) >= THRESHOLD * qn[audited, None] * norms
+    cosine = (q @ shard.T) / (qn[:, None] * norms)
     if qid is not None:
-        truth &= qid[audited, None] != g.ids
+        cosine[qid[some, None] == g.ids] = -2
+    truth = cosine >= THRESHOLD
     while beam <= MOST_BEAM:
-        a, b = verified(shard, q, norms, qn, *g.within(unit, THRESHOLD - 1e-4, beam))
-        hit = np.zeros(truth.shape, bool)
-        place = np.full(len(q), -1)
-        place[audited] = np.arange(len(audited))
-        mine = place[a] >= 0
-        hit[place[a[mine]], b[mine]] = True
-        if passes(truth, hit):
-            return a, b
+        if truth.any():
+            hit = np.zeros(truth.shape, bool)
+            hit[verified(shard, q, norms, qn, *g.within(unit, THRESHOLD - 1e-4, beam))] = True
+            if passes(truth, hit):
+                return beam
+        else:
+            ids, _ = g.search(unit, g.entries(unit), min(beam, len(g.x)))
+            if (ids == cosine.argmax(1)[:, None]).any(1).mean() >= NEAREST:
+                return beam
         beam *= 2
-    return brute(shard, q, norms, qn)
+    return 0
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-    """The edges of (a, b) that join two trees so far."""
-    up: dict[int, int] = {}
+def linked(g: Hnsw, shard: np.ndarray, q: np.ndarray, beam: int = BEAM, qid: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) numbers of the links of q, verified in double precision, slice by slice. shard, q: the vectors as
+    given; qid: q's nodes. The base beam is one with which an audit over a sample of the queries, spread evenly, passes.
+    If there is none, brute force takes the search's place."""
+    if not len(q):
+        return
+    norms, qn = np.linalg.norm(shard, axis=1), np.linalg.norm(q, axis=1)
+    unit = (q / qn[:, None]).astype(np.float32)
+    beam = base_beam(g, shard, q, norms, qn, beam, qid)
+    step = min(SLICE, max(1, SLICE_PAIRS // len(shard)))
+    for lo in range(0, len(q), step):
+        s = slice(lo, lo + step)
+        a, b = verified(shard, q[s], norms, qn[s], *g.within(unit[s], THRESHOLD - 1e-4, beam)) if beam else brute(shard, q[s], norms, qn[s])
+        yield a + lo, b
 
-    def root(x: int) -> int:
+
+def links(g: Hnsw, shard: np.ndarray, q: np.ndarray, beam: int = BEAM, qid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All that linked() yields."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *linked(g, shard, q, beam, qid)]
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+class Forest:
+    """Edges that join two trees so far."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+        self.u: list[int] = []
+        self.v: list[int] = []
+
+    def root(self, x: int) -> int:
+        up = self.up
         while (p := up.setdefault(x, x)) != x:
             up[x] = x = up[p]
         return x
 
-    out: tuple[list[int], list[int]] = ([], [])
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out[0].append(x)
-            out[1].append(y)
-    return out
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = self.root(x), self.root(y)
+            if p != q:
+                self.up[max(p, q)] = min(p, q)
+                self.u.append(x)
+                self.v.append(y)
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -348,35 +375,48 @@ def search_shard(left: pa.Table, right: pa.Table) -> pa.Table:
         z = np.load(io.BytesIO(b"".join(p for _, p in parts)))
         g, shard, weight = Hnsw.load(z["graph"].tobytes()), z["x"], z["weight"]
         q, qid = matrix(right.column("embedding")), right.column("node").to_numpy()
-        a, b = links(g, shard, q, qid=qid)
-        same = qid[a] == g.ids[b]
-        a, b = a[~same], b[~same]
-        total = np.bincount(a, weight[b], len(q)).astype(np.int64)
+        total, trees = np.zeros(len(q), np.int64), Forest()
+        for a, b in linked(g, shard, q, qid=qid):
+            other = qid[a] != g.ids[b]
+            a, b = a[other], b[other]
+            total += np.bincount(a, weight[b], len(q)).astype(np.int64)
+            trees.add(qid[a], g.ids[b])
         some = np.flatnonzero(total)
-        u, v = forest(qid[a], g.ids[b])
-        nodes, others, weights = qid[some].tolist() + u, [None] * len(some) + v, total[some].tolist() + [0] * len(u)
+        nodes, others, weights = qid[some].tolist() + trees.u, [None] * len(some) + trees.v, total[some].tolist() + [0] * len(trees.u)
     return pa.table([pa.array(nodes, pa.int64()), pa.array(others, pa.int64()), pa.array(weights, pa.int64())], names=["node", "other", "weight"])
 
 
 def dedupe(df: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each vector (vec_id, embedding)."""
     rows = materialize(prepare(df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))), "vectors")
-    reps = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding"), F.first("dim").alias("dim"))
-    reps = materialize(reps, "reps")
+    known = rows.where("key is not null")
+    weight = known.select("key", "vec_id").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("weight"))
+    reps = known.groupBy("key").agg(F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"), F.first("dim").alias("dim")).join(weight, "key")
+    # A vec_id with several vectors is the least one of several keys: a node is a key's hash, and the ids come in at the end.
+    reps = materialize(reps.withColumn("node", F.xxhash64("key")), "reps")
     n = reps.count()
     shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK_ROWS))
     own = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")
     graphs = reps.select("node", "weight", "embedding", "dim", own).groupBy("shard", "dim").applyInArrow(build_shard, "shard int, dim int, part int, graph binary")
-    graphs = materialize(graphs, "graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    written = materialize(graphs, "graphs")
+    graphs = written.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     queries = reps.select("node", "embedding", "dim", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(blocks)).cast("int").alias("block"), every)
     found = graphs.groupBy("shard", "dim", "block").cogroup(queries.groupBy("shard", "dim", "block")).applyInArrow(search_shard, "node long, other long, weight long")
     found = materialize(found, "found")
+    discard(written)
     joined = components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     counts = found.where("other is null").groupBy("node").agg(F.sum("weight").alias("linked"))
-    per = reps.select("key", "node", "weight").join(counts, "node", "left").join(joined, "node", "left")
-    per = per.select("key", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("vec_id", "key").join(per, "key", "left")
+    per = reps.select("key", "least", "weight", "node").join(counts, "node", "left").join(joined, "node", "left")
+    per = per.select("key", "least", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    per = materialize(per, "classes")
+    # Rows of one vec_id are one node: it is joined with the least ids of all its vectors, and these with those of their components.
+    ids = known.select("vec_id", "key").distinct().join(per.select("key", "least"), "key").select(F.col("vec_id").alias("u"), F.col("least").alias("v"))
+    least = per.groupBy("component").agg(F.min("least").alias("v"))
+    ends = per.select("component", F.col("least").alias("u")).join(least, "component").select("u", "v")
+    final = components(ids.unionByName(ends)).select(F.col("node").alias("vec_id"), F.col("component").alias("component_id"))
+    out = rows.select("vec_id", "key").join(per.select("key", "n_links"), "key", "left").join(final, "vec_id", "left")
+    discard(reps, found)
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 

@@ -46,8 +46,9 @@ def cover(item, text, least=5):
 
 def test_tiles_equal_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(30):
-        item, text = rng.integers(0, 3, 24).tolist(), rng.integers(0, 3, 40).tolist()
+    for n in [24] * 30 + list(range(5, 61, 5)) * 2:
+        item, text = rng.integers(0, 3, n).tolist(), rng.integers(0, 3, 40).tolist()
+        text += item[n // 4 : n // 2 + 3] + [7] + item[: n // 2] + [8] + item[n // 4 :]  # fragments that overlap and repeat
         tiles = decontaminate.tile(item, text)
         assert all(item[a : a + n] == text[b : b + n] and n >= 5 for a, b, n in tiles)
         spans = [set(range(a, a + n)) for a, _, n in tiles]
@@ -55,6 +56,22 @@ def test_tiles_equal_brute_force():
         assert sum(n for _, _, n in tiles) == cover(item, text)
 
 
+def test_remainder_of_a_covered_match_is_a_tile(spark):
+    item = [f"w{i}" for i in range(20)]
+    text = " ".join(["x", *item[5:14], "y", *item[:8], "z", *item[5:10], "v"])
+    got = decontaminate.leaks(docs(spark, [(1, text)]), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.matched_words) for r in got] == [(1, 9, 14)]
+
+
+def test_blocks_of_a_large_benchmark(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}w{k}" for k in range(12))) for i in range(20)] + [(3, "again one two three four five")], "item_id long, text string")
+    d = docs(spark, [(i, " ".join(f"b{i}w{k}" for k in range(12))) for i in range(25)] + [(30, "x again one two three four five"), (None, None)])
+    want = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(d, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(d, bench).collect()) == want == [(i, i) for i in range(20)] + [(30, 3)]
+    assert sorted(r.doc_id or 0 for r in decontaminate.clean(d, bench).collect()) == [0, 20, 21, 22, 23, 24]
+
+
 def test_leaks_reordered_passages(spark):
     item = " ".join(f"w{i}" for i in range(20))
     moved = " ".join(["x"] + [f"w{i}" for i in range(10, 20)] + ["y", "z"] + [f"W{i}," for i in range(10)])
@@ -174,6 +191,24 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_dedup.dedupe(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_embeddings_of_one_id_are_one_node(spark):
+    v = np.random.default_rng(3).normal(size=(3, 8)).tolist()
+    rows = [(5, v[0]), (5, v[1]), (5, v[0]), (1, v[0]), (2, v[1]), (9, v[2]), (7, None), (7, v[2])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.dedupe(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (5, 1, 1), (5, 1, 1), (5, 1, 1), (7, 0, 7), (7, 1, 7), (9, 1, 7)]
+
+
+def test_an_audit_without_links_measures_neighbours():
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    unit = unit[(unit @ unit.T > 0.949).sum(1) == 1]
+    g = embedding_dedup.Hnsw(unit, np.arange(len(unit))).build()
+    norms = np.ones(len(unit))
+    assert embedding_dedup.base_beam(g, unit, unit, norms, norms, embedding_dedup.BEAM, g.ids) > 0
+    g.search = lambda q, start, beam, layer=0: (np.zeros((len(q), 1), int), np.zeros((len(q), 1)))
+    assert embedding_dedup.base_beam(g, unit, unit, norms, norms, embedding_dedup.BEAM, g.ids) == 0
+
+
 def skewed(hot, pairs=40):
     """Vectors (one large group, and pairs) and a graph of them whose searches find no vector outside the group."""
     rng = np.random.default_rng(8)
@@ -395,6 +430,20 @@ def test_disguises_need_no_other_disguise(text, kind):
     assert pii.added_spans(text, pii.base_spans(text))[kind] == [(0, len(text))]
 
 
+@pytest.mark.parametrize("text", ["a dot b" + " " * 40_000, "(" * 5_000 + " " * 35_000, "x at " + "at dot " * 6_000, "( " * 20_000, "1 dot " * 7_000, "one " * 10_000 + "x"])
+def test_scans_are_linear(text):
+    import time
+
+    began = time.perf_counter()
+    pii.find(text)
+    assert time.perf_counter() - began < 0.5
+
+
+@pytest.mark.parametrize("text", ["192 dot 168 dot 1 dot 20", "one nine two dot one six eight dot one dot two zero", "10 punto 0 punto 0 punto 1"])
+def test_addresses_with_words_for_dots(text):
+    assert pii.find("x " + text + " y")[1]["ip"] == [(2, 2 + len(text))]
+
+
 def test_at_this_point_is_no_address():
     assert pii.find("Look at this point in time; we met at that point it rained.")[1] == {k: [] for k in pii.KINDS}
 
