@@ -8,10 +8,9 @@ lists: the T - 1 longest need no merging, since a partner must occur in one of t
     lists), and linked ones joined into components, so a large group of near copies never spells out its pairs;
 3.  the short lists, of each set's |x| - T + 1 rarest shingles (frequent ones last, then by hash), are built, and those
     that lie in more than one component are kept;
-4.  the short lists are merged: for each pair of keys of different components that meet in one, the shingles shared there
-    and their last places are counted, in the lists' buckets first and then over all of them (by sorting runs, which
-    counts what a heap counts). A pair stays unless either set has missed more shingles, up to the last shared one, than
-    a link allows;
+4.  each query's short lists are merged, with those of the queries in its bucket: for each other key that it meets the
+    shared shingles and the last places of one are counted (by sorting runs, which counts what a heap counts). A pair
+    stays unless either set has missed more shingles, up to the last shared one, than a link allows;
 5.  parity sketches of the sets give a lower bound of their difference, which ends most pairs that are not linked; for
     the rest x's other, long lists are probed: its shingles are searched for in y's sorted set, and the pair is linked
     when the overlap reaches its T.
@@ -46,7 +45,7 @@ LOWEST, STAR, FREQUENT, PART, COUNTED, PAIRS = 8, 3, 200_000, 2048, 4_000_000, 2
 ROUNDS = 2
 #: Bytes of a posting (shingle, key, place), bytes of them that a bucket should hold, postings of a message to the buckets,
 #: entries that a bucket of the merge should hold.
-POSTING, BUCKET_BYTES, MESSAGE, ENTRIES = 18, 24_000_000, 500_000, 250_000
+POSTING, BUCKET_BYTES, MESSAGE, ENTRIES = 18, 24_000_000, 500_000, 50_000
 #: Bits of the filter by which documents that take part are picked; it is of this size whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -148,40 +147,29 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def tally(entries: np.ndarray, outside: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(u, v, shared, place of the last in u, in v, n of u, of v) of the pairs u < v that meet in lists, some PAIRS at a time.
+def tally(queries: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
+    """query, other, shingles shared, place of the last in the query, in the other, n of the query, of the other: a row for
+    each pair that meets in a list.
 
-    entries and outside have columns shingle, key, component, n, place, rank, sorted by shingle and component. Pairs are
-    of an entry and one of outside in the same list, of different components and of sizes that a link allows. rank is 1
-    for what outside holds as well: of two such, the one in the lower component is the entry.
+    queries and others have columns shingle, key, component, weight, n, place; others is sorted by shingle. Pairs are of
+    the same list, of sizes that a link allows; the other one's component ranks lower, by weight and then by number.
     """
-    begin, end = (np.searchsorted(outside[:, 0], entries[:, 0], side) for side in ("left", "right"))
-    count = end - begin
-    cuts = np.searchsorted(np.cumsum(count), np.arange(PAIRS, count.sum() + PAIRS, PAIRS))
-    at = 0
-    for cut in cuts.tolist():
-        part = slice(at, cut + 1)
-        at = cut + 1
-        size = count[part]
-        if not size.sum():
-            continue
-        x = np.repeat(entries[part], size, axis=0)
-        y = outside[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[part], size)]
-        fits = (x[:, 2] != y[:, 2]) & ((x[:, 5] == 0) | (x[:, 2] < y[:, 2])) & (SHARE_OF * np.minimum(x[:, 3], y[:, 3]) >= SHARE * np.maximum(x[:, 3], y[:, 3]))
-        x, y = x[fits], y[fits]
-        if not len(x):
-            continue
-        swap = x[:, 1] > y[:, 1]
-        x[swap], y[swap] = y[swap], x[swap]
-        order = np.lexsort((y[:, 1], x[:, 1]))
-        x, y = x[order], y[order]
-        first = np.flatnonzero(np.concatenate([[True], (x[1:, 1] != x[:-1, 1]) | (y[1:, 1] != y[:-1, 1])]))
-        shared = np.diff(np.append(first, len(x)))
-        yield x[first, 1], y[first, 1], shared, np.maximum.reduceat(x[:, 4], first), np.maximum.reduceat(y[:, 4], first), x[first, 3], y[first, 3]
+    begin, end = (np.searchsorted(others[:, 0], queries[:, 0], side) for side in ("left", "right"))
+    size = end - begin
+    x = np.repeat(queries, size, axis=0)
+    y = others[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)]
+    fits = ((y[:, 3] < x[:, 3]) | (y[:, 3] == x[:, 3]) & (y[:, 2] < x[:, 2])) & (SHARE_OF * np.minimum(x[:, 4], y[:, 4]) >= SHARE * np.maximum(x[:, 4], y[:, 4]))
+    x, y = x[fits], y[fits]
+    order = np.lexsort((y[:, 1], x[:, 1]))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:, 1] != x[:-1, 1]) | (y[1:, 1] != y[:-1, 1])])[: len(x)])
+    if not len(first):
+        return [np.empty(0, np.int64)] * 7
+    return [x[first, 1], y[first, 1], np.diff(np.append(first, len(x))), np.maximum.reduceat(x[:, 5], first), np.maximum.reduceat(y[:, 5], first), x[first, 4], y[first, 4]]
 
 
 def may_link(shared, mine, theirs, n, m):
-    """Whether sets of n and m, whose short lists share so many shingles up to these places, may be linked (columns or arrays).
+    """Whether sets of n and m, whose short lists share so many shingles up to these places, may be linked.
 
     Up to the last shared one neither may have missed more than n - T or m - T, T = ceil(SHARE (n + m) / (SHARE_OF + SHARE)).
     """
@@ -355,32 +343,50 @@ def short_lists(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
 def merged(lists: DataFrame, labels: DataFrame, entries: int) -> DataFrame:
     """Candidate pairs (u, v) of keys of different components that share enough of their short lists.
 
-    labels: (key, component, n). A list's entries outside its largest component meet all of its entries, so the pairs inside a component are never
-    made. Of a list of more than PART entries each part goes to a group of its own, with all that lies outside.
+    labels: (key, n, component, weight), weight the keys of the component. Components are ranked by weight and number; of
+    a pair the key in the higher one is the query, so the entries of a list's highest component need not travel, and no
+    pair inside a component is met. Queries are dealt to buckets by key, with all their lists: a list travels once to each
+    bucket that holds some of its queries, packed, PART entries at a time, and there all that a pair shares is counted in
+    one place, for as many queries at once as have PAIRS entries.
     """
+    rank = F.struct("weight", "component")
     now = lists.join(labels, "key").repartition("shingle")
-    sizes = now.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
-    top = sizes.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("t"), F.sum("c").alias("all")).where("t.c < all")
-    now = now.join(top.select("shingle", F.col("t.component").alias("top"), F.ceil(F.col("all") / PART).cast("int").alias("parts")), "shingle")
-    outside = F.col("component") != F.col("top")
-    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    buckets = max(8, entries // ENTRIES)
-    now = now.withColumn("own", own).withColumn("rank", outside.cast("int"))
-    now = now.withColumn("part", F.explode(F.when(F.col("rank") == 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
-    now = now.withColumn("bucket", F.when(F.col("parts") > 1, F.col("shingle")).otherwise(F.pmod(F.xxhash64("shingle"), F.lit(buckets))))
-    names = ["shingle", "key", "component", "n", "place", "rank"]
-    counts = ["shared", "mine", "theirs", "n", "m"]
+    ends = now.groupBy("shingle").agg(F.max(rank).alias("top"), F.min(rank).alias("low"), F.count(F.lit(1)).alias("all")).where("low.component <> top.component")
+    now = now.join(ends, "shingle")
+    entry = F.struct("key", "component", "weight", F.col("n").alias("n"), "place")
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("all") / PART)).alias("part")
+    others = now.where(rank != F.col("top")).groupBy("shingle", part).agg(F.collect_list(entry).alias("others"))
+    buckets = max(32, entries // ENTRIES)
+    bucket = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(buckets)).alias("bucket")
+    queries = now.where(rank != F.col("low")).groupBy("shingle", bucket).agg(F.collect_list(entry).alias("queries"))
+
+    def flat(shingle: np.ndarray, column: pa.ChunkedArray) -> np.ndarray:
+        c = column.combine_chunks()
+        inner = c.flatten()
+        sizes = np.diff(c.offsets.to_numpy())
+        return np.stack([np.repeat(shingle, sizes), *[inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]], axis=1)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
-        rows, here = rows[order := np.lexsort((rows[:, 2], rows[:, 0]))], (table.column("own").to_numpy() == key[1].as_py())[order]
-        found = [*tally(rows[here], rows[rows[:, 5] == 1])]
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 7
-        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["u", "v", *counts])
-
-    pairs = now.select("bucket", "part", "own", *names).groupBy("bucket", "part").applyInArrow(run, "u long, v long, " + ", ".join(f"{c} long" for c in counts))
-    total = pairs.groupBy("u", "v").agg(F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in counts[1:]])
-    return total.where(may_link(*[F.col(c) for c in counts])).select("u", "v")
+        shingle, part = (table.column(c).to_numpy() for c in ("shingle", "part"))
+        rest = flat(shingle, table.column("others"))
+        rest = rest[np.argsort(rest[:, 0], kind="stable")]
+        # A list of several parts comes with its queries as often.
+        first = np.zeros(len(shingle), bool)
+        first[np.unique(shingle, return_index=True)[1]] = True
+        mine = flat(shingle[first], table.column("queries").filter(pa.array(first)))
+        met = np.searchsorted(rest[:, 0], mine[:, 0], "right") - np.searchsorted(rest[:, 0], mine[:, 0], "left")
+        turns = int(met.sum()) // PAIRS + 1
+        turn = (mix(mine[:, 1].astype(np.uint64)) % np.uint64(turns)).astype(int)
+        u, v = [], []
+        for k in range(turns):
+            a, b, *counts = tally(mine[turn == k], rest)
+            ok = may_link(*counts) if len(a) else np.zeros(0, bool)
+            u.append(a[ok])
+            v.append(b[ok])
+        return pa.table([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
+
+    rows = queries.join(others, "shingle").select("bucket", "shingle", "part", "queries", "others")
+    return rows.groupBy("bucket").applyInArrow(run, "u long, v long")
 
 
 def starred(heads: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -415,14 +421,15 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         edges.append(early)
         joined = components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("node", "key")
         labels = heads.select("key", "n").join(joined, "key", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
-    labels = materialize(labels, "labels")
+    weights = materialize(joined.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), "weights")  # of two keys or more
+    labels = materialize(labels.join(weights, "component", "left").select("key", "n", "component", F.coalesce("weight", F.lit(1)).alias("weight")), "labels")
     heavy = seen.where("n < 0").select(F.inline("often")).groupBy("shingle").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "shingle").limit(FREQUENT)
     often = np.array([r[0] for r in heavy.collect()], np.int64)
     total = heads.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total * POSTING * (SHARE_OF - SHARE) / SHARE_OF / BUCKET_BYTES))
     lists = materialize(short_lists(docs, often, buckets), "lists")
     late = verified(docs, heads, materialize(merged(lists, labels, lists.count()), "candidates"))
-    discard(lists, labels)
+    discard(lists, labels, weights)
     return seen.where("n >= 0").select("doc_id", "th", "n", "key"), heads, reduce(DataFrame.unionByName, [*edges, late])
 
 

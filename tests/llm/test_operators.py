@@ -281,10 +281,10 @@ def test_ngram_join_equals_brute_force(spark):
 def test_divide_skip_and_probe():
     a, b = np.arange(0, 100), np.arange(10, 100)
     assert ngram_join.linked(a, b) and not ngram_join.linked(a, b[:60]) and not ngram_join.linked(a[:0], a[:0])
-    own = np.array([(100 + p, 5, 5, 10, p, 0) for p in (0, 1, 5)])  # shingle, key, component, n, place, rank
-    others = np.array([(100, 1, 1, 10, 0, 1), (100, 2, 2, 10, 0, 1), (101, 2, 2, 10, 1, 1), (105, 3, 3, 10, 5, 1), (105, 4, 5, 10, 5, 1), (105, 6, 6, 90, 5, 1)])
-    (u, v, *counts), = ngram_join.tally(own, others)
-    assert list(zip(u.tolist(), v.tolist(), counts[0].tolist(), strict=True)) == [(1, 5, 1), (2, 5, 2), (3, 5, 1)]
+    own = np.array([(100 + p, 5, 5, 2, 10, p) for p in (0, 1, 5)])  # shingle, key, component, weight, n, place
+    others = np.array([(100, 1, 1, 1, 10, 0), (100, 2, 2, 1, 10, 0), (101, 2, 2, 1, 10, 1), (105, 3, 3, 2, 10, 5), (105, 4, 5, 2, 10, 5), (105, 6, 6, 1, 90, 5), (105, 7, 4, 3, 10, 5)])
+    u, v, *counts = ngram_join.tally(own, others)
+    assert list(zip(u.tolist(), v.tolist(), counts[0].tolist(), strict=True)) == [(5, 1, 1), (5, 2, 2), (5, 3, 1)]
     assert ngram_join.may_link(*counts).tolist() == [True, True, False]  # the last one's sets have missed five shingles each
 
 
