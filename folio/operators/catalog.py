@@ -24,12 +24,12 @@ def list_works(docs: DataFrame, *, language: str | None = None, slug_part: str |
 
 
 def list_chapters(docs: DataFrame, slug: str) -> DataFrame:
-    return docs.where(F.col("source") == slug).groupBy(F.col("source").alias("slug"), F.col("doc_id").alias("chapter_number")).agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("variants"), F.count(F.lit(1)).alias("n_variants"))
+    return work(docs, slug).groupBy(F.col("source").alias("slug"), F.col("doc_id").alias("chapter_number")).agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("variants"), F.count(F.lit(1)).alias("n_variants"))
 
 
 def metadata(docs: DataFrame, slug: str, chapters: int = 8) -> DataFrame:
     """(kind, name, n): the work's languages, and its first chapters with their characters."""
-    own = docs.where(F.col("source") == slug)
+    own = work(docs, slug)
     langs = own.groupBy("lang").count().select(F.lit("language").alias("kind"), F.col("lang").alias("name"), F.col("count").alias("n"))
     first = own.orderBy("doc_id").limit(chapters).select(F.lit("chapter").alias("kind"), F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("n"))
     return langs.unionByName(first)
@@ -40,10 +40,20 @@ def annotated(body: Column, separator: str = "\n") -> Column:
     return F.array_join(F.transform(tx.paragraphs(body, separator), lambda p: F.concat(F.lit("["), tx.paragraph_id(p), F.lit("] "), p)), "\n\n")
 
 
-def read_chapter(docs: DataFrame, slug: str, chapter: int | None = None) -> DataFrame:
+def work(docs: DataFrame, slug: str) -> DataFrame:
+    """The documents of a work; an unknown one is an error."""
     own = docs.where(F.col("source") == slug)
+    if own.select("source").isEmpty():
+        raise EngineError("WORK_NOT_FOUND", f"no work {slug}", "list_works names them")
+    return own
+
+
+def read_chapter(docs: DataFrame, slug: str, chapter: int | None = None) -> DataFrame:
+    own = work(docs, slug)
     if chapter is not None:
         own = own.where(F.col("doc_id") == chapter)
+        if own.isEmpty():
+            raise EngineError("CHAPTER_NOT_FOUND", f"{slug} has no chapter {chapter}", "list_chapters names them")
     return own.select("doc_id", "lang", annotated(F.col("text")).alias("body"))
 
 

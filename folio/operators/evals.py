@@ -144,11 +144,11 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str, n: int) -> DataFrame:
-    """n rows spread evenly over the order of key: those at floor(i * rows / n). Their places come from counts by range,
-    so no task holds all rows."""
+    """(key, place): n rows spread evenly over the order of key, those at floor(i * rows / n); all where there are fewer.
+    Their places come from counts by range, so no task holds all rows."""
     total = df.count()
-    if total <= n:
-        return df.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1) if total <= 10_000 else df
+    if not total:
+        return df.select(key, F.lit(0).alias("place"))
     picks = sorted({i * total // n for i in range(n)})
     ordered = df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
     sizes = {r[0]: r[1] for r in ordered.groupBy("_p").count().collect()}  # a row for each partition

@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folio.errors import EngineError
 from folio.functions import text as tx
 from folio.sources.tables import paragraphs
 
 
+#: Needles without an inner word that are tried on each text as constants.
+SHORT_NEEDLES = 1000
+
+
 def literal_hits(docs: DataFrame, needle: Column, lang: str | None = "en", ignore_case: bool = True) -> DataFrame:
     """doc_id, source, offset, snippet, paragraph_id of every non-overlapping occurrence of a literal.
 
@@ -52,6 +57,31 @@ def distinctive(docs: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame
     return scored.select("query_id", "token", "idf", rank.alias("rank")).where(F.col("rank") <= most)
 
 
+def containing(docs: DataFrame, needles: DataFrame, key: str) -> DataFrame:
+    """(key, doc_id): whose needle stands in the document's text, case aside.
+
+    A needle's inner words stand between blanks in every text that holds it: documents are met by the longest one, then
+    compared as literals. Needles without an inner word are tried on each text in one pass, as constants; they are counted
+    first, and more than SHORT_NEEDLES of them are an error. Null or empty needles are in no text.
+    """
+    low = needles.where("needle <> ''").select(key, F.lower("needle").alias("needle")).withColumn("words", F.split("needle", r"\s+"))
+    inner = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
+    seed = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    low = low.withColumn("word", seed)
+    texts = docs.select("doc_id", F.lower("text").alias("text"))
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = words.join(low.where("word is not null").select(key, "word", "needle"), "word").select(key, "needle", "doc_id")
+    out = met.join(texts, "doc_id").where(F.contains("text", "needle")).select(key, "doc_id")
+    short = low.where("word is null").select(key, "needle")
+    few = [r[0] for r in short.select("needle").distinct().limit(SHORT_NEEDLES + 1).collect()]
+    if len(few) > SHORT_NEEDLES:
+        raise EngineError("BAD_QUERY", f"more than {SHORT_NEEDLES} needles of one or two words", "ask for them in parts")
+    if few:
+        held = F.filter(F.array(*map(F.lit, few)), lambda x: F.contains(F.col("text"), x))
+        out = out.unionByName(texts.select("doc_id", F.explode(held).alias("needle")).join(short, "needle").select(key, "doc_id"))
+    return out
+
+
 def fallback(docs: DataFrame, queries: DataFrame, limit: int = 30, lang: str = "en") -> DataFrame:
     """(query_id, doc_id, tokens, hits, rank) for queries of more than five words without a literal hit.
 
@@ -60,11 +90,11 @@ def fallback(docs: DataFrame, queries: DataFrame, limit: int = 30, lang: str = "
     """
     d = docs.where(F.col("lang") == lang)
     long = queries.where(F.size(F.filter(F.split(F.trim("query"), r"\s+"), lambda w: w != "")) > 5)
-    found = long.join(d, F.contains(F.lower("text"), F.lower("query")), "left_semi").select("query_id")
+    found = containing(d, long.select("query_id", F.col("query").alias("needle")), "query_id").select("query_id")
     asked = distinctive(d, long.join(found, "query_id", "left_anti"))
     starts = d.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_]+"), F.lit(0))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     prefixes = asked.select("query_id", "token").withColumn("head", F.substring("token", 1, 3))
-    met = starts.withColumn("head", F.substring("word", 1, 3)).join(F.broadcast(prefixes), "head").where(F.startswith("word", "token"))
+    met = starts.withColumn("head", F.substring("word", 1, 3)).join(prefixes, "head").where(F.startswith("word", "token"))
     per = met.groupBy("query_id", "doc_id").agg(F.countDistinct("token").alias("tokens"), F.sum("n").alias("hits"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("tokens"), F.desc("hits"), "doc_id"))
     return per.withColumn("rank", rank).where(F.col("rank") <= limit)

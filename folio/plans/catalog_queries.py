@@ -54,13 +54,9 @@ def range_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("o040_needles_in_haystack", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def needles(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole benchmark passages inside documents: met by their first three words, then compared as literals."""
-    key = lambda t: F.explode(F.array_distinct(tx.ngrams(F.filter(F.split(F.lower(t), "[^\\p{L}]+"), lambda w: w != ""), 3)))
-    b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("needle"))
-    b = b.withColumn("head", F.get(tx.ngrams(F.slice(F.filter(F.split("needle", "[^\\p{L}]+"), lambda w: w != ""), 2, 3), 3), F.lit(0)))
-    d = documents(spark, sf).select("doc_id", "text")
-    pairs = d.select("doc_id", key(F.col("text")).alias("head")).join(F.broadcast(b.select("item_id", "head")), "head").select("item_id", "doc_id").distinct()
-    return pairs.join(d, "doc_id").join(F.broadcast(b.select("item_id", "needle")), "item_id").where(F.contains(F.lower("text"), F.col("needle"))).select("item_id", "doc_id")
+    """Whole benchmark passages inside documents."""
+    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"))
+    return search.containing(documents(spark, sf), b, "item_id")
 
 
 @query("o022_list_works", f"WITH {WORKS} SELECT * FROM works WHERE language = 'en' AND contains(slug, '1') AND total_chapters >= 2")
@@ -83,7 +79,7 @@ def get_metadata(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.metadata(documents(spark, sf), "src3")
 
 
-@query("o026_read_chapter", f"SELECT doc_id, lang, list_aggregate(list_transform({PARTS}, lambda p: '[' || {pid('p')} || '] ' || p), 'string_agg', chr(10) || chr(10)) AS body FROM documents WHERE source = 'src5' AND doc_id < 400")
+@query("o026_read_chapter", f"SELECT doc_id, lang, list_aggregate(list_transform({PARTS}, lambda p: '[' || {pid('p')} || '] ' || p), 'string_agg', chr(10) || chr(10)) AS body FROM documents WHERE source = 'src5'")
 def read_chapter(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.read_chapter(documents(spark, sf), "src5")
 
@@ -230,15 +226,15 @@ def term_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("o106_slugs", None)
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", tx.slugify(F.substring("text", 1, 120)).alias("slug"), tx.chapter_slug(F.col("doc_id"), F.substring("text", 1, 40)).alias("chapter_slug"))
+    return documents(spark, sf).select("doc_id", tx.slugify(F.col("text")).alias("slug"), tx.chapter_slug(F.col("doc_id"), F.col("text")).alias("chapter_slug"))
 
 
-@query("o107_fold", "SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents WHERE lang <> 'de'")
+@query("o107_fold", "SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents")
 def fold(spark: SparkSession, sf: str) -> DataFrame:
     from folio.session import ship
 
     ship(spark)
-    return documents(spark, sf).where("lang <> 'de'").select("doc_id", tx.fold("text").alias("folded"))
+    return documents(spark, sf).select("doc_id", tx.fold("text").alias("folded"))
 
 
 SCRIPT_COUNT = lambda p: f"length(s) - length(regexp_replace(s, '{p}', '', 'g'))"
@@ -263,10 +259,10 @@ def stopword_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", F.round(tx.stopword_ratio(F.col("text")), 6).alias("ratio"))
 
 
-@query("o118_truncated", """WITH x AS (SELECT doc_id, substring(text, 1, 300) AS t FROM documents), y AS (SELECT doc_id, t, instr(t, '. ') - 1 AS d, instr(t, ', ') - 1 AS c, CASE WHEN instr(substring(t, 1, 81), ' ') > 0 THEN 81 - instr(reverse(substring(t, 1, 81)), ' ') ELSE -1 END AS s FROM x)
+@query("o118_truncated", """WITH x AS (SELECT doc_id, text AS t FROM documents), y AS (SELECT doc_id, t, instr(t, '. ') - 1 AS d, instr(t, ', ') - 1 AS c, CASE WHEN instr(substring(t, 1, 81), ' ') > 0 THEN 81 - instr(reverse(substring(t, 1, 81)), ' ') ELSE -1 END AS s FROM x)
 SELECT doc_id, CASE WHEN length(t) <= 80 THEN t WHEN d > 0 AND d < 80 THEN substring(t, 1, d + 1) WHEN c > 0 AND c < 80 THEN substring(t, 1, c + 1) || '...' WHEN s > 0 THEN substring(t, 1, s) || '...' ELSE substring(t, 1, 80) || '...' END AS headline FROM y""")
 def truncated(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", tx.truncated(F.substring("text", 1, 300)).alias("headline"))
+    return documents(spark, sf).select("doc_id", tx.truncated(F.col("text")).alias("headline"))
 
 
 @query("o085_offsets", f"WITH {PARAS} SELECT doc_id, max(\"offset\") AS last_offset, sum(length(text))::BIGINT AS chars FROM paras GROUP BY doc_id")
@@ -274,7 +270,7 @@ def offsets(spark: SparkSession, sf: str) -> DataFrame:
     return paragraphs(documents(spark, sf)).groupBy("doc_id").agg(F.max("offset").alias("last_offset"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("o014_drift", f"WITH stored AS (SELECT doc_id, {fnv('substring(text, 1, 200)')} AS h FROM documents WHERE doc_id % 7 <> 0), fresh AS (SELECT doc_id, {fnv('substring(CASE WHEN doc_id % 11 = 0 THEN upper(text) ELSE text END, 1, 200)')} AS h FROM documents WHERE doc_id % 5 <> 0) SELECT coalesce(s.doc_id, f.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'added' WHEN f.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS drift FROM stored s FULL JOIN fresh f USING (doc_id) WHERE s.h IS DISTINCT FROM f.h")
+@query("o014_drift", f"WITH stored AS (SELECT doc_id, {fnv('text')} AS h FROM documents WHERE doc_id % 7 <> 0), fresh AS (SELECT doc_id, {fnv('CASE WHEN doc_id % 11 = 0 THEN upper(text) ELSE text END')} AS h FROM documents WHERE doc_id % 5 <> 0) SELECT coalesce(s.doc_id, f.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'added' WHEN f.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS drift FROM stored s FULL JOIN fresh f USING (doc_id) WHERE s.h IS DISTINCT FROM f.h")
 def drift(spark: SparkSession, sf: str) -> DataFrame:
     """What a rebuild would change: a full outer join of stored and fresh hashes. The two sides are made from the documents."""
     d = documents(spark, sf)

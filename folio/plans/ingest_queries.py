@@ -173,30 +173,29 @@ FM = "'---' || chr(10) || 'title: ' || CASE WHEN doc_id % 2 = 0 THEN '\"A: ' ||
 
 def written(spark: SparkSession, sf: str) -> DataFrame:
     title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("A: "), "source")).otherwise(F.col("source"))
-    return documents(spark, sf).select("doc_id", ingest.with_header({"title": title, "number": F.col("doc_id"), "note": F.lit(None).cast("string")}, F.substring("text", 1, 200)).alias("raw"))
+    return documents(spark, sf).select("doc_id", ingest.with_header({"title": title, "number": F.col("doc_id"), "note": F.lit(None).cast("string")}, F.col("text")).alias("raw"))
 
 
-@query("o018_front_matter_writer", f"SELECT doc_id, {FM} || substring(text, 1, 200) AS raw FROM documents")
+@query("o018_front_matter_writer", f"SELECT doc_id, {FM} || text AS raw FROM documents")
 def writer(spark: SparkSession, sf: str) -> DataFrame:
     return written(spark, sf)
 
 
-@query("o148_front_matter_parser", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'A: ' || source ELSE source END AS title, doc_id::VARCHAR AS number, 'int' AS kind, substring(text, 1, 200) AS body FROM documents")
+@query("o148_front_matter_parser", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'A: ' || source ELSE source END AS title, doc_id::VARCHAR AS number, 'int' AS kind, text AS body FROM documents")
 def parser(spark: SparkSession, sf: str) -> DataFrame:
     m = written(spark, sf).withColumn("h", ingest.header_map(F.col("raw")))
     return m.select("doc_id", ingest.scalar(F.col("h")["title"])["text"].alias("title"), ingest.scalar(F.col("h")["number"])["text"].alias("number"), ingest.scalar(F.col("h")["number"])["kind"].alias("kind"), ingest.body_of(F.col("raw")).alias("body"))
 
 
-@query("o019_front_matter_patch", "SELECT doc_id, '---' || chr(10) || 'title: new' || chr(10) || 'number: ' || doc_id || chr(10) || 'checked: true' || chr(10) || '---' || chr(10) || chr(10) || substring(text, 1, 200) AS raw FROM documents")
+@query("o019_front_matter_patch", "SELECT doc_id, '---' || chr(10) || 'title: new' || chr(10) || 'number: ' || doc_id || chr(10) || 'checked: true' || chr(10) || '---' || chr(10) || chr(10) || text AS raw FROM documents")
 def patch(spark: SparkSession, sf: str) -> DataFrame:
     return written(spark, sf).select("doc_id", ingest.patched_header(F.col("raw"), {"title": "new", "checked": "true"}).alias("raw"))
 
 
-@query("o122_cleaned", "SELECT doc_id, regexp_replace(substring(text, 1, 100), '\\s+$', '') AS body FROM documents WHERE doc_id % 10 = 1 AND trim(substring(text, 1, 100)) = substring(text, 1, 100)")
+@query("o122_cleaned", f"SELECT doc_id, {trim('text')} AS body FROM documents")
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents(spark, sf).where("doc_id % 10 = 1 and trim(substring(text, 1, 100)) = substring(text, 1, 100)")
-    raw = F.concat(F.lit("Source: http://x.org/a\nLines: 3\n---\n"), F.substring("text", 1, 100), F.lit("\n ---- "))
-    return d.select("doc_id", ingest.cleaned(raw).alias("body"))
+    raw = F.concat(F.lit("Source: http://x.org/a\nLines: 3\n---\n"), "text", F.lit("\n ---- "))
+    return documents(spark, sf).select("doc_id", ingest.cleaned(raw).alias("body"))
 
 
 @query("o106_slug_fixture", "SELECT * FROM (VALUES ('Déjà Vu: The ''Œuvre'' & Straße!', 'deja-vu-the-oeuvre-strasse'), ('', ''), ('--A--b__c--', 'a-b-c')) t(title, slug)")

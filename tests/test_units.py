@@ -130,3 +130,42 @@ def test_read_chapter_reads_every_id(spark, tmp_path):
 def test_drift_beyond_the_first_characters(spark, tmp_path):
     sf = tables(spark, tmp_path, [(11, "1" * 250 + "end", "s"), (22, "1" * 250, "s"), (13, "1" * 250 + "end", "s")])
     assert [(r.doc_id, r.drift) for r in QUERIES["o014_drift"](spark, sf).collect()] == [(11, "changed")]
+
+
+def test_unknown_work_or_chapter(spark, sf):
+    from folio.errors import EngineError
+    from folio.operators import catalog
+    from folio.sources.tables import documents
+
+    d = documents(spark, sf)
+    for call in (catalog.list_chapters, catalog.metadata, catalog.read_chapter):
+        with pytest.raises(EngineError) as e:
+            call(d, "nowhere")
+        assert e.value.payload()["error"]["code"] == "WORK_NOT_FOUND"
+    with pytest.raises(EngineError) as e:
+        catalog.read_chapter(d, "src5", -1)
+    assert e.value.code == "CHAPTER_NOT_FOUND"
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3, 7, 30])
+def test_spread_has_one_schema(spark, rows):
+    from folio.operators import evals
+
+    df = evals.spread(spark.range(rows).selectExpr("id + 100 as k", "'x' as other"), "k", 7)
+    want = sorted({i * rows // 7 for i in range(7)}) if rows else []
+    assert df.columns == ["k", "place"] and sorted((r.k, r.place) for r in df.collect()) == [(100 + p, p) for p in want]
+
+
+def test_containing_equals_brute_force(spark, monkeypatch):
+    from folio.errors import EngineError
+    from folio.operators import search
+
+    texts = {1: "The quick brown fox. It ran", 2: "a quick  brown fox", 3: None, 4: "", 5: "xthe QUICK brown foxes", 6: "fox"}
+    needles = {1: "the quick brown fox", 2: "quick brown", 3: "FOX", 4: "", 5: None, 6: "quick  brown fox", 7: "e quick brown f", 8: "no such words here"}
+    d = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    n = spark.createDataFrame([*needles.items()], "id long, needle string")
+    got = sorted(map(tuple, search.containing(d, n, "id").select("id", "doc_id").collect()))
+    assert got == sorted((i, k) for i, x in needles.items() for k, t in texts.items() if x and t and x.lower() in t.lower())
+    monkeypatch.setattr(search, "SHORT_NEEDLES", 1)
+    with pytest.raises(EngineError):
+        search.containing(d, n, "id")
