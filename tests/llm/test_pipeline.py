@@ -43,3 +43,12 @@ def test_empty(spark, folder, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(1, a), (2, b), (7, c), (7, a + " zz"), (7, c), (8, None), (8, None), (9, "  "), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_doc", F.lit("mine"))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, a), (0, a), (1, a), (2, b), (7, c), (8, ""), (9, "  ")]
