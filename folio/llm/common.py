@@ -35,6 +35,8 @@ def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share; a fresh local one only where the cluster names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

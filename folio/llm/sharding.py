@@ -9,6 +9,7 @@ Null key: hashed like any other value. Null text: no bytes. Repeated rows share
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folio.llm.common import load, tune
+from folio.llm.common import load, scratch, tune
 
 #: Virtual slots, fixed for the life of a data set; shards; the part of a shard's mean size that the spread may reach.
 SLOTS, SHARDS, TOLERANCE = 8192, 8, 0.001
@@ -86,9 +87,23 @@ def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
     return spark.createDataFrame([(v + 1, s, d) for v, layout in enumerate(versions) for s, d in enumerate(layout)], MAP)
 
 
+def newest(spark: SparkSession, path: str) -> int:
+    """The newest version of the maps stored there; 0 if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return 0
+    return spark.read.parquet(path).agg(F.max("version")).first()[0] or 0
+
+
 def save_map(spark: SparkSession, versions: list[list[int]], path: str) -> None:
     """Stores the maps, a folder for each version; a version that is there is never written again."""
-    map_table(spark, versions).write.partitionBy("version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    map_table(spark, versions).where(F.col("version") > newest(spark, path)).coalesce(1).write.partitionBy("version").mode("append").parquet(path)
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
+    """The stored map of a version, or the newest one: the shard of each slot."""
+    rows = spark.read.parquet(path).where(F.col("version") == (version or newest(spark, path))).select("vslot", "shard").orderBy("vslot").collect()  # SLOTS rows
+    return [r.shard for r in rows]
 
 
 def place(df: DataFrame, layout: list[int], counts: dict[int, int], order: list[str], slot: str = "vslot") -> DataFrame:
@@ -113,7 +128,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), vslot("doc_id").alias("vslot"))
     per = {r[0]: (int(r[1]), int(r[2])) for r in docs.groupBy("vslot").agg(F.sum("size"), F.count(F.lit(1))).collect()}  # at most SLOTS rows
-    versions = [first_map()]
-    versions.append(rebalance(versions[0], {s: b for s, (b, _) in per.items()}))
-    out = place(docs, versions[-1], {s: n for s, (_, n) in per.items()}, ["doc_id", "text_crc32", "size"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(len(versions)).alias("map_version"))
+    path = f"{scratch(spark)}/folio-slot-map-{uuid.uuid4().hex}"
+    save_map(spark, [first_map()], path)
+    first = read_map(spark, path)
+    save_map(spark, [first, rebalance(first, {s: b for s, (b, _) in per.items()})], path)
+    version = newest(spark, path)
+    out = place(docs, read_map(spark, path, version), {s: n for s, (_, n) in per.items()}, ["doc_id", "text_crc32", "size"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", F.lit(version).alias("map_version"))

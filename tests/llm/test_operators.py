@@ -487,3 +487,14 @@ def test_components(spark):
     got = {r.node: r.component for r in common.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == comp and not up
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_stored_maps_are_edited_never_overwritten(spark, tmp_path):
+    path = f"{tmp_path}/maps"
+    assert sharding.newest(spark, path) == 0
+    v1 = sharding.first_map()
+    sharding.save_map(spark, [v1], path)
+    v2 = sharding.rebalance(sharding.read_map(spark, path), {s: s % 13 + 1 for s in range(sharding.SLOTS)})
+    sharding.save_map(spark, [v2, v2], path)  # the first one is there already
+    assert sharding.newest(spark, path) == 2
+    assert sharding.read_map(spark, path, 1) == v1 and sharding.read_map(spark, path) == v2
