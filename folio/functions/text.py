@@ -25,6 +25,10 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
+def strip_left(text: Column) -> Column:
+    return F.regexp_replace(text, f"\\A{BLANK}+", "")
+
+
 def collapse(text: Column) -> Column:
     """text with runs of blanks as one blank."""
     return F.regexp_replace(text, f"{BLANK}+", " ")

@@ -174,3 +174,29 @@ def merged_turns(turns: DataFrame) -> DataFrame:
     marked = turns.withColumn("new", F.coalesce((F.col("role") != F.lag("role").over(w)).cast("int"), F.lit(1)))
     runs = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+def of_cases(df: DataFrame, wanted: dict[str, list | None]) -> DataFrame:
+    """Rows whose columns have one of the values wanted; None asks for nothing."""
+    for column, values in wanted.items():
+        if values is not None:
+            df = df.where(F.col(column).isin(values))
+    return df
+
+
+def category_points(scored: DataFrame, category: str, points: str) -> DataFrame:
+    """(category, passed, cases, points, most) over a column of `nine_points`."""
+    p = F.col(points)
+    return scored.groupBy(category).agg(F.count_if(p["pass"]).alias("passed"), F.count(F.lit(1)).alias("cases"), F.sum(p["total"]).alias("points"), (9 * F.count(F.lit(1))).alias("most"))
+
+
+def with_scores(results: DataFrame, pins: list[DataFrame], judged: DataFrame) -> DataFrame:
+    """(run, id, pass, pinned, judged): a pinned score wins over the computed one.
+
+    pins: score tables (run, id, pass), the strongest first; a run takes all its scores from the first that has any.
+    """
+    pinned = pins[0]
+    for lower in pins[1:]:
+        pinned = pinned.unionByName(lower.join(pinned.select("run").distinct(), "run", "left_anti"))
+    out = results.join(pinned.withColumnRenamed("pass", "_pin"), ["run", "id"], "left").join(judged, ["run", "id"], "left")
+    return out.select("run", "id", F.coalesce("_pin", "computed").alias("pass"), F.col("_pin").isNotNull().alias("pinned"), "judged")

@@ -16,6 +16,7 @@ MARKER = r"(?:[/|]{2,}[ \t\n]*)?\b([A-Za-z]{2,6})_([0-9]+)\.([0-9]+)\b(?:[ \t\n]
 HEADINGS = (
     ("h2 chapter", r"(?im)^\s*##\s*Chapter\s+([IVXLCDM]+|\d+)\b.*$"),
     ("h2 canto", r"(?im)^\s*##\s*Canto\s+(\d+)\b.*$"),
+    ("h2 adhyaya", r"(?imu)^\s*##\s*Adhy[āa]ya\s+(\d+)\b.*$"),
     ("caps chapter", r"(?m)^\s*CHAPTER\s+([IVXLCDM]+|\d+)\b.*$"),
     ("plain chapter", r"(?m)^\s*Chapter\s+([IVXLCDM]+|\d+)\b.*$"),
     ("section", r"(?m)^\s*(?:SECTION|Section)\s+([IVXLCDM]+|\d+)\b.*$"),
@@ -23,6 +24,7 @@ HEADINGS = (
     ("h2", r"(?m)^\s*##\s+\S.*$"),
     ("h3", r"(?m)^\s*###\s+\S.*$"),
 )
+# Languages in other scripts; authors whose works are verse.
 NON_LATIN = ("sanskrit", "urdu", "kawi")
 VERSE_AUTHORS = ("Allama Iqbal", "Mirza Ghalib", "Sheikh Ibrahim Zauq", "Cynewulf")
 
@@ -41,6 +43,11 @@ def body_of(raw: Column) -> Column:
     return F.when(front_matter(raw).isNull(), raw).otherwise(F.regexp_replace(raw, r"\A---\n(?s:.*?)\n---\n*", ""))
 
 
+def stripped(raw: Column) -> Column:
+    """The body as a browser reads it: lines may end in CR LF, and blanks before the text go."""
+    return tx.strip_left(F.regexp_replace(raw, r"\A---\r?\n(?s:.*?)\r?\n---\r?\n", ""))
+
+
 def header_map(raw: Column) -> Column:
     """key -> raw value of the header's top-level lines."""
     lines = F.filter(F.split(F.coalesce(front_matter(raw), F.lit("")), "\n"), lambda x: x.rlike(r"^\w+:"))

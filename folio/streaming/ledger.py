@@ -126,3 +126,10 @@ def generations(events: DataFrame) -> DataFrame:
     day = events.select("user_id", "event_type", F.to_date("ts").alias("day"))
     top = day.withColumn("newest", F.max("day").over(Window.partitionBy("user_id"))).where("day = newest")
     return top.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def progress(done: Column, total: Column, seconds: Column) -> Column:
+    """(elapsed_min, rate, remaining_min) of a batch; the rate is of a minute and counts a second at least."""
+    elapsed = seconds / 60
+    rate = done / F.greatest(elapsed, F.lit(1 / 60))
+    return F.struct(elapsed.alias("elapsed_min"), rate.alias("rate"), ((total - done) / F.greatest(rate, F.lit(0.0001))).alias("remaining_min"))
