@@ -5,7 +5,8 @@ strides so short that a copy of any of its templates lies whole in one window. A
 BANDS minima equals the template's. `collision` gives the probability of that for the least similarity a match can have;
 the tests hold it above 0.999 for every template. A window is a match where it holds at least CONTAINMENT of the
 template's shingles, counted exactly; overlapping matches of a template become one, cut to its
-shingles, and of overlapping matches of several templates the best stays.
+shingles and cut again into copies. Of overlapping matches of several templates that stays which holds CONTAINMENT of the shingles that tell it
+from the others, so a variant of a licence is not named by its relatives; of several such, the one that holds most.
 
 Null, empty and blank texts match nothing. Repeated rows have equal matches. Texts of any length are scanned whole;
 windows never reach over two texts.
@@ -13,6 +14,8 @@ windows never reach over two texts.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,22 +27,57 @@ from folio.llm.ngram_join import mix, word_hashes
 
 #: Words of a shingle, minima (bands of one row) of a window, share of a template's shingles that a match holds.
 SHINGLE, BANDS, CONTAINMENT = 2, 20, 0.75
+#: How much longer the longest template of a group may be than its shortest.
+CLASS = 1.6
 
-# Notices of common licences.
+# Notices and conditions of common licences.
+_SHARE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_LIBRARY = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version."
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+_MIT_REST = ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_TWO = ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_KEEP = ", provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_END = ". THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_APACHE_END = " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+_CC = {"CC-BY-4.0": "Attribution", "CC-BY-SA-4.0": "Attribution-ShareAlike", "CC-BY-ND-4.0": "Attribution-NoDerivatives", "CC-BY-NC-4.0": "Attribution-NonCommercial", "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike", "CC-BY-NC-ND-4.0": "Attribution-NonCommercial-NoDerivatives"}
+_SPDX = ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", *_CC, "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later")
 TEMPLATES = [
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    *[(name, f"Licensed under {name[:-4].replace('-', ' ', 1)} 4.0.") for name in _CC],
+    *[(name, f"This work is licensed under a Creative Commons {terms} 4.0 International License.") for name, terms in _CC.items()],
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", _SHARE.format("General Public License", "2")),
+    ("GPL-3.0", _SHARE.format("General Public License", "3")),
+    ("AGPL-3.0", _SHARE.format("Affero General Public License", "3")),
+    ("LGPL-2.1", _LIBRARY.format("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _LIBRARY.format("Lesser General Public License", "3")),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + _APACHE_END),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_REST + _AS_IS),
+    ("BSD", _BSD),
+    ("BSD-2-Clause", _BSD + _BSD_TWO + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_TWO + _BSD_THIRD + _BSD_END),
+    ("0BSD", _ISC + _ISC_END),
+    ("ISC", _ISC + _ISC_KEEP + _ISC_END),
+    ("MPL-2.0", _MPL),
+    ("MPL-2.0", _MPL + " If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
+    *[(name, f"SPDX-License-Identifier: {name}") for name in _SPDX],
 ]
 
 #: Bytes of text that are scanned at once.
@@ -98,23 +136,63 @@ class Group:
         return {(w, k) for value, k in self.minima[band] for w in np.flatnonzero(win == value).tolist()}
 
 
-def best(found: list[dict]) -> list[dict]:
-    """The matches in order; of overlapping ones that with the larger containment stays, then the longer one."""
+def copies(h: np.ndarray, own: np.ndarray, a: int, b: int, share: float) -> list[tuple[int, int, float]]:
+    """The copies of a template in words a to b, cut where more than a quarter of its length has none of its shingles.
+
+    Parts that hold too little are one with the parts beside them up to the next copy; where no part is a copy, a to b is one.
+    """
+    at = a + np.flatnonzero(np.isin(h[a : b - SHINGLE + 1], own))
+    runs: list[tuple[bool, list[np.ndarray]]] = []
+    for part in np.split(at, np.flatnonzero(np.diff(at) > max(2, len(own) // 4)) + 1):
+        whole = len(np.unique(h[part])) >= CONTAINMENT * len(own)
+        if whole or not runs or runs[-1][0]:
+            runs.append((whole, [part]))
+        else:
+            runs[-1][1].append(part)
+    shares = [(parts[0][0], parts[-1][-1] + SHINGLE, len(np.unique(h[np.concatenate(parts)])) / len(own)) for _, parts in runs]
+    return [(int(x), int(y), z) for x, y, z in shares if z >= CONTAINMENT] or [(a, b, share)]
+
+
+def telling(found: list[dict], sets: list[np.ndarray]) -> None:
+    """Sets `told` of each match: the least share of its template's shingles that an overlapping match of another licence lacks.
+
+    Matches of one template are disjoint, so as many overlap in a place as there are templates at most.
+    """
+    live: list[dict] = []
+    for m in sorted(found, key=lambda m: m["start"]):
+        m["told"] = 1.0
+        live = [x for x in live if x["end"] > m["start"]]
+        for x in live:
+            if x["license"] != m["license"]:
+                for one, other in ((m, x), (x, m)):
+                    own = np.setdiff1d(sets[one["template"]], sets[other["template"]])
+                    if len(own):
+                        one["told"] = min(one["told"], float(np.isin(own, one["held"]).mean()))
+        live.append(m)
+
+
+def best(found: list[dict], sets: list[np.ndarray]) -> list[dict]:
+    """The matches in order. Of overlapping ones that stays which holds what tells it from the others; then the one that holds most shingles."""
+    telling(found, sets)
     out: list[dict] = []
-    for m in sorted(found, key=lambda m: (-m["containment"], m["start"] - m["end"], m["start"], m["template"])):
-        if all(m["end"] <= x["start"] or x["end"] <= m["start"] for x in out):
-            out.append(m)
-    return sorted(out, key=lambda m: m["start"])
+    starts: list[int] = []
+    for m in sorted(found, key=lambda m: (-min(m["told"], CONTAINMENT), -len(m["held"]), m["start"], m["template"])):
+        k = bisect.bisect_left(starts, m["end"])
+        if not k or out[k - 1]["end"] <= m["start"]:
+            starts.insert(k, m["start"])
+            out.insert(k, m)
+    return [{f: m[f] for f in ("license", "template", "start", "end", "containment")} for m in out]
 
 
 class Templates:
     def __init__(self, rows: list[tuple[str, str]] = TEMPLATES):
         self.names = [name for name, _ in rows]
         hashed = [(k, shingles(word_hashes(text.encode().translate(FOLD))[0])) for k, (_, text) in enumerate(rows)]
+        self.sets = [np.unique(s) for _, s in hashed]
         classes: dict[int, list[tuple[int, np.ndarray]]] = {}
         for k, s in hashed:
             if len(s):
-                classes.setdefault(int(np.ceil(np.log(len(s)) / np.log(2.2))), []).append((k, s))
+                classes.setdefault(int(np.ceil(np.log(len(s)) / np.log(CLASS))), []).append((k, s))
         self.groups = [Group(m) for _, m in sorted(classes.items())]
 
     def scan(self, texts: list[str | None]) -> list[list[dict]]:
@@ -142,7 +220,7 @@ class Templates:
                     if pairs:
                         self._verify(group, pairs, h, bounds, starts, offsets, whole, raw, out, at)
             at += len(raw)
-        return [best(found) for found in out]
+        return [best(found, self.sets) if found else [] for found in out]
 
     def _verify(self, group: Group, pairs: set[tuple[int, int]], h: np.ndarray, bounds: np.ndarray, starts: np.ndarray, offsets: np.ndarray, whole: bytes, raw: list[bytes], out: list[list[dict]], at: int) -> None:
         found: dict[tuple[int, int], list[list]] = {}
@@ -167,13 +245,13 @@ class Templates:
                     merged[-1][1], merged[-1][2] = max(merged[-1][1], b), max(merged[-1][2], share)
                 else:
                     merged.append([a, b, share])
-            for a, b, share in merged:
+            for a, b, share in [x for a, b, share in merged for x in copies(h, group.sets[k], a, b, share)]:
                 first, last = int(starts[a] - offsets[d]), int(starts[b - 1] - offsets[d])
                 end = last
                 while end < len(raw[d]) and whole[offsets[d] + end] != 32:
                     end += 1
                 chars = lambda n, r=raw[d]: len(r[:n].decode("utf-8", "surrogatepass"))
-                out[at + d].append({"license": self.names[k], "template": k, "start": chars(first), "end": chars(end), "containment": share})
+                out[at + d].append({"license": self.names[k], "template": k, "start": chars(first), "end": chars(end), "containment": share, "held": np.intersect1d(h[a : b - SHINGLE + 1], group.sets[k])})
 
 
 MATCH = T.StructType([T.StructField("license", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("containment", T.DoubleType())])

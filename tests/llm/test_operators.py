@@ -498,3 +498,28 @@ def test_stored_maps_are_edited_never_overwritten(spark, tmp_path):
     sharding.save_map(spark, [v2, v2], path)  # the first one is there already
     assert sharding.newest(spark, path) == 2
     assert sharding.read_map(spark, path, 1) == v1 and sharding.read_map(spark, path) == v2
+
+
+def test_each_licence_is_named_by_itself():
+    t = licenses.Templates()
+    rng = np.random.default_rng(1)
+    for name, text in licenses.TEMPLATES:
+        assert [m["license"] for m in t.scan([f"some words {text} and more"])[0]] == [name], text
+        words = text.split()
+        if len(words) > 60:  # a twentieth of the words changed
+            for k in rng.choice(len(words), len(words) // 20, replace=False):
+                words[k] = "other"
+            found = {m["license"] for m in t.scan([" ".join(words)])[0]}
+            assert found == {name} or name == "BSD-3-Clause" and found <= {"BSD-2-Clause", name}, (name, found)
+
+
+def test_licence_matches_of_many_copies_and_edges(spark):
+    t = licenses.Templates()
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 2."
+    found = t.scan([" x ".join([mit, gpl] * 500)])[0]
+    assert [m["license"] for m in found] == ["MIT", "GPL-2.0"] * 500
+    rows = [(1, mit, "a"), (None, mit, "a"), (2, None, "a"), (3, "", "a"), (1, mit, "a"), (4, "word " * 200_000 + gpl, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = sorted((r["doc_id"] or 0, [m["license"] for m in r["matches"]]) for r in licenses.scan(df).collect())
+    assert got == [(0, ["MIT"]), (1, ["MIT"]), (1, ["MIT"]), (2, []), (3, []), (4, ["GPL-2.0"])]
+    assert licenses.scan(df.limit(0)).count() == 0
