@@ -189,6 +189,8 @@ class Templates:
         self.names = [name for name, _ in rows]
         hashed = [(k, shingles(word_hashes(text.encode().translate(FOLD))[0])) for k, (_, text) in enumerate(rows)]
         self.sets = [np.unique(s) for _, s in hashed]
+        self.every = np.unique(np.concatenate(self.sets))
+        self.least = np.array([np.ceil(CONTAINMENT * len(s)) for s in self.sets])
         classes: dict[int, list[tuple[int, np.ndarray]]] = {}
         for k, s in hashed:
             if len(s):
@@ -211,17 +213,29 @@ class Templates:
             offsets = np.cumsum([0, *[len(r) + 1 for r in raw]])
             bounds = np.searchsorted(starts, offsets)
             if len(h):
+                near = np.minimum(np.searchsorted(self.every, h), len(self.every) - 1)
+                known = np.flatnonzero(self.every[near] == h)  # places of any template's shingles
                 met: list[set[tuple[int, int]]] = [set() for _ in self.groups]
                 for band, seed in enumerate(SEEDS):
                     hashed = h * seed
                     for group, pairs in zip(self.groups, met, strict=True):
                         pairs |= group.collisions(hashed, band)
                 for group, pairs in zip(self.groups, met, strict=True):
+                    pairs = self._possible(group, pairs, known)
                     if pairs:
                         self._verify(group, pairs, h, bounds, starts, offsets, whole, raw, out, at)
             at += len(raw)
         return [best(found, self.sets) if found else [] for found in out]
 
+    def _possible(self, group: Group, pairs: set[tuple[int, int]], known: np.ndarray) -> set[tuple[int, int]]:
+        """The pairs whose window has as many places with shingles of templates as a match needs; exact, as all others fail."""
+        if not pairs:
+            return pairs
+        w, k = np.array(sorted(pairs)).T
+        places = np.searchsorted(known, w * group.stride + group.width) - np.searchsorted(known, w * group.stride)
+        held = places >= self.least[k]
+        return set(zip(w[held].tolist(), k[held].tolist(), strict=True))
+
     def _verify(self, group: Group, pairs: set[tuple[int, int]], h: np.ndarray, bounds: np.ndarray, starts: np.ndarray, offsets: np.ndarray, whole: bytes, raw: list[bytes], out: list[list[dict]], at: int) -> None:
         found: dict[tuple[int, int], list[list]] = {}
         for w, k in sorted(pairs):
