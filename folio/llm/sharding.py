@@ -1,10 +1,11 @@
 """Sharding by fixed virtual slots and a versioned map from slots to shards.
 
-A record's slot is a hash of its key, for ever; only the map from slots to shards changes. Bytes are summed per slot
+A record's slot is a hash of its id and text, for ever; only the map from slots to shards changes. Bytes are summed per slot
 (combined before the shuffle), and a map is edited by moving slots from heavy shards to light ones, as few as needed;
 each edit is a new version, so any older layout can be read again. The map has SLOTS rows whatever the data's size.
 
-Null key: hashed like any other value. Null text: no bytes. Repeated rows share a slot. No rows: no rows.
+Null id: the text alone tells the slot, so rows without id, or of one id, spread as their texts do. Null text: no bytes.
+Rows equal in id and text share a slot. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version, by the law of near-equal bytes."""
     tune(spark)
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), vslot("doc_id").alias("vslot"))
+    docs = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), vslot("doc_id", "text").alias("vslot"))
     per = {r[0]: (int(r[1]), int(r[2])) for r in docs.groupBy("vslot").agg(F.sum("size"), F.count(F.lit(1))).collect()}  # at most SLOTS rows
     path = f"{scratch(spark)}/folio-slot-map-{uuid.uuid4().hex}"
     save_map(spark, [first_map()], path)
