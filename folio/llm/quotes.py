@@ -4,7 +4,8 @@ A line's quote level is the number of ">" that open it. Runs of lines of one lev
 (lower case, runs of blanks as one) and hashed. Each message's own words (level 0), as a whole and paragraph by
 paragraph, are hashed the same way, and kept once for each conversation and hash, at the earliest turn; so the join
 from quoted passages to their originals meets one row, whatever is repeated. A message answers the message whose words it
-quotes most of at the lowest level, an earlier turn of its conversation. Threads are followed to their first message by
+quotes most of at the lowest level, an earlier turn of its conversation. Passages of under eight letters ("yes.") count where
+they are a whole passage and the whole of an earlier message. Threads are followed to their first message by
 pointer jumping, in as many rounds as the logarithm of the longest chain.
 
 The result has a row for each message; ordered by conversation, thread and turn, a reply follows what it answers.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import load, materialize, tune
 
-#: A passage of fewer letters is no evidence of a reply.
+#: A line of fewer letters is evidence of a reply only where it is a whole passage and a whole message.
 SHORTEST = 8
 OPENING = r"^((?:[ \t]*>)+)[ \t]?"
 
@@ -36,38 +37,43 @@ def lines(text: Column) -> Column:
 
 
 def passages(parts: Column) -> Column:
-    """Runs of lines of one level above 0, in order: level and body. A blank line of the message's own ends a run."""
-    kind = "struct<level:int,body:string>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(0).alias("level"), F.array().cast("array<string>").alias("run"))
+    """Runs of lines of one level above 0, in order: level and body. A blank line of the message's own ends a run.
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["level"] > 0, F.concat(acc["done"], F.array(F.struct(acc["level"].alias("level"), F.array_join(acc["run"], "\n").alias("body"))))).otherwise(acc["done"])
+    Linear in the lines: a body holds no line break, so a line break and "#" can open a run, a line break and "." a line.
+    """
+
+    def marked(x: Column, i: Column) -> Column:
+        body = F.concat(F.lit("\n."), x["body"])
+        return F.when((i > 0) & (F.get(parts, i - 1)["level"] == x["level"]), body).otherwise(F.concat(F.lit("\n#"), x["level"].cast("string"), body))
+
+    def run(piece: Column) -> Column:
+        level = F.substring_index(piece, "\n.", 1)
+        return F.struct(level.cast("int").alias("level"), F.replace(F.substr(piece, F.length(level) + 3), F.lit("\n."), F.lit("\n")).alias("body"))
+
+    pieces = F.split(F.array_join(F.transform(parts, marked), ""), "\n#")
+    return F.filter(F.transform(F.filter(pieces, lambda x: x != ""), run), lambda x: x["level"] > 0)
 
-    def step(acc: Column, x: Column) -> Column:
-        same = x["level"] == acc["level"]
-        done = F.when(same, acc["done"]).otherwise(closed(acc))
-        run = F.when(x["level"] == 0, F.array().cast("array<string>")).when(same, F.concat(acc["run"], F.array(x["body"]))).otherwise(F.array(x["body"]))
-        return F.struct(done.alias("done"), x["level"].alias("level"), run.alias("run"))
 
-    return F.aggregate(parts, start, step, closed)
+def hashed(whole: Column, parts: Column) -> Column:
+    """Hashes and lengths of a normalised text, unless it is empty, and of those of its parts that are long enough."""
 
+    def of(texts: Column, least: int) -> Column:
+        return F.filter(F.transform(texts, lambda t: F.struct(F.xxhash64(normalised(t)).alias("hash"), F.length(normalised(t)).alias("size"))), lambda x: x["size"] >= least)
 
-def hashed(texts: Column) -> Column:
-    """Hashes and lengths of normalised texts that are long enough."""
-    return F.filter(F.transform(texts, lambda t: F.struct(F.xxhash64(normalised(t)).alias("hash"), F.length(normalised(t)).alias("size"))), lambda x: x["size"] >= SHORTEST)
+    return F.concat(of(F.array(whole), 1), of(parts, SHORTEST))
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages with clean (own words), quote_levels, n_quotes, own (hashes) and quoted (level, hash, size)."""
+    """messages with clean (own words), quote_levels, n_quotes, own (hashes) and quoted ("level hash size")."""
     m = messages.withColumn("_lines", lines(F.col("text")))
     own = F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["body"])
     m = m.withColumn("_passages", passages(F.col("_lines")))
     clean = F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), r"^[\s]+|[\s]+$", "")
     m = m.withColumn("clean", F.when(F.col("text").isNull(), F.lit("")).when(F.size("_passages") > 0, clean).otherwise(F.col("text")))
     paragraphs = F.split("clean", r"\n")
-    m = m.withColumn("own", F.array_distinct(hashed(F.concat(F.array("clean"), paragraphs))))
-    bodies = lambda p: F.concat(F.array(p["body"]), F.split(p["body"], r"\n"))  # noqa: E731  as a whole, and line by line
-    quoted = F.flatten(F.transform("_passages", lambda p: F.transform(hashed(bodies(p)), lambda h: F.struct(p["level"].alias("level"), h["hash"].alias("hash"), h["size"].alias("size")))))
+    m = m.withColumn("own", hashed(F.col("clean"), paragraphs))
+    # as a whole, and line by line; told apart as strings, which are compared by hash where structs are compared pair by pair
+    quoted = F.flatten(F.transform("_passages", lambda p: F.transform(hashed(p["body"], F.split(p["body"], r"\n")), lambda h: F.concat_ws(" ", p["level"], h["hash"], h["size"]))))
     return m.withColumn("quoted", F.array_distinct(quoted)).withColumn("quote_levels", F.coalesce(F.array_max(F.transform("_lines", lambda x: x["level"])), F.lit(0))).withColumn("n_quotes", F.size("_passages")).drop("_lines", "_passages")
 
 
@@ -78,7 +84,8 @@ def parents(m: DataFrame) -> DataFrame:
     """
     known = m.where("conv_id is not null and turn is not null")
     originals = known.select("conv_id", "turn", F.explode("own").alias("o")).groupBy("conv_id", F.col("o.hash").alias("hash")).agg(F.min("turn").alias("source"))
-    quotes = known.select("_row", "conv_id", "turn", F.explode("quoted").alias("q")).select("_row", "conv_id", "turn", "q.*")
+    quotes = known.select("_row", "conv_id", "turn", F.explode("quoted").alias("q")).withColumn("q", F.split("q", " "))
+    quotes = quotes.select("_row", "conv_id", "turn", *[F.col("q")[i].cast(kind).alias(name) for i, (name, kind) in enumerate((("level", "int"), ("hash", "long"), ("size", "int")))])
     met = quotes.join(originals, ["conv_id", "hash"]).where("source < turn")
     weighed = met.groupBy("_row", "level", "source").agg(F.sum("size").alias("letters"))
     best = weighed.groupBy("_row").agg(F.min(F.struct("level", -F.col("letters"), -F.col("source"), "source")).alias("b"))

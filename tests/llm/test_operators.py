@@ -2,7 +2,8 @@
 
 import itertools
 import re
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -386,6 +387,66 @@ def test_quotes(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def plain_parents(rows):
+    """(conv_id, turn, text) to the turn that each row answers, by comparing words in place of hashes."""
+    norm = lambda t: re.sub(r"[\s\xa0]+", " ", t.lower()).strip(" ")
+
+    def kept(whole, parts):
+        return [w for w in [norm(whole)] if w] + [w for w in map(norm, parts) if len(w) >= quotes.SHORTEST]
+
+    read, first = [], {}
+    for c, t, text in rows:
+        lines = []
+        for x in re.split(r"\r?\n", text or ""):
+            m = re.match(r"((?:[ \t]*>)+)[ \t]?", x)
+            lines.append((m.group(1).count(">"), x[m.end() :]) if m else (0, x))
+        runs = []
+        for k, (level, body) in enumerate(lines):
+            if k and lines[k - 1][0] == level:
+                runs[-1][1].append(body)
+            else:
+                runs.append((level, [body]))
+        runs = [r for r in runs if r[0]]
+        clean = re.sub(r"\n{3,}", "\n\n", "\n".join(b for v, b in lines if not v)).strip() if runs else text or ""
+        read.append((c, t, {(v, w) for v, b in runs for w in kept("\n".join(b), b)}))
+        for w in kept(clean, clean.split("\n")):
+            first[c, w] = min(t, first.get((c, w), t))
+    out = []
+    for c, t, quoted in read:
+        letters = Counter()
+        for v, w in quoted:
+            if first.get((c, w), t) < t:
+                letters[v, first[c, w]] += len(w)
+        out.append(min(((v, -n, -at, at) for (v, at), n in letters.items()), default=(None,))[-1])
+    return out
+
+
+def test_quotes_against_words_compared(spark):
+    rng = np.random.default_rng(8)
+    words = ["yes.", "Thanks!", "ok", "the plan is fine", "see you\nat the station", "\u4f60\u597d", "#1", ".", "a  longer   answer", ""]
+    rows = []
+    for c in range(25):
+        said = []
+        for t in range(8):
+            parts = [words[rng.integers(len(words))]]
+            for _ in range(rng.integers(0, 3)):
+                if said:
+                    parts.insert(rng.integers(0, len(parts) + 1), "\n".join(rng.choice(["> ", ">"]) + x for x in said[rng.integers(len(said))].split("\n")))
+            said.append("\n".join(parts))
+            rows.append((c, t, "u", said[-1]))
+    want = plain_parents([(c, t, x) for c, t, _, x in rows])
+    got = {(r.conv_id, r.turn): r.parent_turn for r in quotes.thread(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[c, t] for c, t, _, _ in rows] == want and sum(x is not None for x in want) > 40
+
+
+def test_short_passages_link_whole_messages_and_long_messages_parse_fast(spark):
+    long = "\n".join(">" * (1 + i % 3) + f" line number {i}" for i in range(8000))
+    rows = [(1, 0, "u", "Thanks!"), (1, 1, "a", "> thanks!\nwelcome"), (1, 2, "u", "no\nmore"), (1, 3, "a", "> no\nwhy"), (2, 0, "u", long)]
+    start = time.time()
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_quotes) for r in quotes.thread(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 1] == (0, 1) and got[1, 3] == (None, 1) and got[2, 0] == (None, 8000) and time.time() - start < 30
+
+
 # -- 9 ------------------------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -475,6 +536,21 @@ def test_sharding(spark, sf):
     assert sharding.rebalance(v1, {}) == v1
 
 
+def test_sharding_spreads_rows_without_id(spark, tmp_path):
+    rows = [(None, f"text {i}") for i in range(600)] + [(5, f"again {i}") for i in range(300)] + [(6, None), (6, ""), (7, "same"), (7, "same")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")).withColumn("vslot", F.lit("x")).write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op10_sharding(spark, str(tmp_path)).toPandas()
+    by = out.groupby("shard")
+    assert len(out) == len(rows) and set(out["size"][out["doc_id"] == 6]) == {1}
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in by) and by["size"].sum().max() - by["size"].sum().min() <= 0.05 * by["size"].sum().mean()
+    assert out["vslot"][out["doc_id"].isna()].nunique() > 500 and out["vslot"][out["doc_id"] == 7].nunique() == 1
+
+
+def test_sharding_of_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sharding.op10_sharding(spark, str(tmp_path)).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(i, i + 1) for i in range(100, 160)]
