@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,18 +45,29 @@ def scratch(spark: SparkSession) -> str:
 
 
 _caches: dict[str, Callable[[], None]] = {}
+_working = [""]
 
 
-def take_cache(owner: str, clear: Callable[[], None]) -> None:
-    """Called by an operator's code in a Python worker before it fills its cache: those of others are emptied.
+def begin(owner: str) -> None:
+    """Called in a Python worker where an operator's code starts: caches of others are emptied, freed memory is given back.
 
-    Workers are kept from stage to stage, so their memory is that of the largest cache, not of all.
+    Workers are kept from stage to stage, so their memory is that of the largest operator, not of all.
     """
-    if owner not in _caches:
-        for other in _caches.values():
-            other()
-        _caches.clear()
-        _caches[owner] = clear
+    if _working[0] == owner:
+        return
+    _working[0] = owner
+    for other in [o for o in _caches if o != owner]:
+        _caches.pop(other)()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def take_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Called before an operator fills its cache in a Python worker; the next operator that begins there empties it."""
+    begin(owner)
+    _caches[owner] = clear
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -90,8 +103,10 @@ def arrow_append(df: DataFrame, schema: T.StructType, fn: Callable[[list[pa.Arra
     arrow = to_arrow_schema(out)
     kept = [f.name for f in fields]
     columns = list(dict.fromkeys(kept + inputs))
+    owner = fn.__module__.rsplit(".", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         for b in batches:
             if not b.num_rows:
                 continue

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, discard, load, materialize, tune
+from folio.llm.common import begin, components, discard, load, materialize, tune
 
 WORDS, SHARE_OF, SHARE = 5, 100, 75  # linked when SHARE_OF * intersection >= SHARE * union
 #: Lowest hashes by which near copies find each other early, and how many they share; bound of the frequent shingles;
@@ -191,6 +191,7 @@ def first_pass(docs: DataFrame) -> DataFrame:
     often, the shingles that repeat in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         held: list[np.ndarray] = []
         size = 0
 
@@ -239,6 +240,7 @@ def picked(table: DataFrame, column: str, passes: Callable[[np.ndarray], np.ndar
     kind, names = table.schema, table.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         for b in batches:
             ok = passes(b.column(len(names)).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(pa.array(ok, pa.bool_()))
@@ -259,6 +261,7 @@ def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
         return pairs.join(a, "u").join(b, "v")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         for b in batches:
             n, m = ([x["n"] for x in b.column(k).to_pylist()] for k in (2, 3))
             s, t = ([x["sketch"] for x in b.column(k).to_pylist()] for k in (2, 3))
@@ -266,11 +269,13 @@ def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         for b in batches:
             got = sets(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in got], pa.binary())], names=["key", "set"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         for b in batches:
             a, c = ([np.frombuffer(x, np.int64) for x in b.column(k).to_pylist()] for k in (2, 3))
             ok = pa.array([linked(x, y) for x, y in zip(a, c, strict=True)], pa.bool_())
@@ -307,6 +312,7 @@ def short_lists(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(bucket[order][np.concatenate([[0], cuts])], pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "shingle", "key", "place"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("ngram_join")
         frequent = shared.value
         held: dict[int, np.ndarray] = {}
         size = 0
@@ -326,6 +332,7 @@ def short_lists(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
             yield messages([*held.items()])
 
     def several(key: tuple, table: pa.Table) -> pa.Table:
+        begin("ngram_join")
         shingle, owner, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("shingle", np.int64), ("key", np.int64), ("place", np.uint32)))
         order = np.lexsort((owner, shingle))
         shingle, owner, place = shingle[order], owner[order], place[order]
@@ -367,6 +374,7 @@ def merged(lists: DataFrame, labels: DataFrame, entries: int) -> DataFrame:
         return np.stack([np.repeat(shingle, sizes), *[inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]], axis=1)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        begin("ngram_join")
         shingle, part = (table.column(c).to_numpy() for c in ("shingle", "part"))
         rest = flat(shingle, table.column("others"))
         rest = rest[np.argsort(rest[:, 0], kind="stable")]
