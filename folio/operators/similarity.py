@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folio.functions import text as tx
+from folio.operators import blocks
 
 #: A link's least cosine, links of a document, tokens below which a document is left out.
 LEAST_COSINE, LINKS, LEAST_TOKENS = 0.05, 5, 50
@@ -19,10 +20,10 @@ def tokenized(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
 def weights(docs: DataFrame) -> DataFrame:
     """(doc_id, term, w) over (doc_id, tokens): count times ln(N / df), without the terms of all documents.
 
-    Terms that one document alone holds are weighed here, but cannot link; cosine_pairs drops them before its join.
+    Terms that one document alone holds are weighed here, but cannot link; blocks keep them for the norms only.
     """
     tf = docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # of tf's columns, so that both sides of the join read one shuffle
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     return tf.join(df, "term").join(F.broadcast(n), F.col("df") < F.col("n")).select("doc_id", "term", "df", (F.col("tf") * F.log(F.col("n") / F.col("df"))).alias("w"))
 
@@ -42,13 +43,20 @@ def cosine_pairs(w: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine")).where(F.col("cosine") >= least)
 
 
-def cross_links(docs: DataFrame, least: float = LEAST_COSINE, top: int = LINKS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """(doc_id, rank, target, score): each document's nearest, ties by the smaller id; short documents neither link nor count."""
+def cross_links(docs: DataFrame, least: float = LEAST_COSINE, top: int = LINKS, least_tokens: int = LEAST_TOKENS, source: str | None = None) -> DataFrame:
+    """(doc_id, rank, target, score): each document's nearest, ties by the smaller id; short documents neither link nor count.
+
+    source: the links of this work's documents only, among all.
+    """
     kept = tokenized(docs).where(F.size("tokens") >= least_tokens)
-    pairs = cosine_pairs(weights(kept), least)
-    both = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("target"), "cosine").unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("target"), "cosine"))
+    labels = None if source is None else labelled(docs)
+    near = blocks.nearest(weights(kept), least, top, docs.count(), labels, source)
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("cosine", 10)), "target"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= top).select("doc_id", "rank", "target", tx.round_half_up(F.col("cosine")).alias("score"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= top).select("doc_id", "rank", "target", tx.round_half_up(F.col("cosine")).alias("score"))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("source").alias("label"))
 
 
 def skipped(docs: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
