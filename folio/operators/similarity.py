@@ -32,15 +32,9 @@ def norms(w: DataFrame) -> DataFrame:
     return w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def cosine_pairs(w: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """(a, b, cosine), a < b, of at least `least`: a join on the term and one sum for each pair that shares one.
-
-    Weights are scaled to unit length first, and terms of one document, which cannot link, stay out of the join. Rows grow
-    with the squares of the posting lists: stopwords keep these short, and adaptive execution splits the longest.
-    """
-    unit = w.where("df > 1").join(norms(w), "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("u"))
-    a, b = unit.select(F.col("doc_id").alias("a"), "term", F.col("u").alias("ua")), unit.select(F.col("doc_id").alias("b"), "term", F.col("u").alias("ub"))
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine")).where(F.col("cosine") >= least)
+def cosine_pairs(w: DataFrame, least: float = LEAST_COSINE, size: int | None = None) -> DataFrame:
+    """(a, b, cosine), a < b, of at least `least`, block by block. size: the documents, about; counted if not given."""
+    return blocks.linked(w, least, size)
 
 
 def cross_links(docs: DataFrame, least: float = LEAST_COSINE, top: int = LINKS, least_tokens: int = LEAST_TOKENS, source: str | None = None) -> DataFrame:
