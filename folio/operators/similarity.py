@@ -57,11 +57,9 @@ def skipped(docs: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     return tokenized(docs).select("doc_id", F.size("tokens").cast("long").alias("tokens")).where(F.col("tokens") < least_tokens)
 
 
-def nearest_works(links: DataFrame, docs: DataFrame, top: int = 4) -> DataFrame:
-    """(slug, other, score, rank): works by their best pair of documents. links: (a, b, cosine)."""
-    by = docs.select("doc_id", "source")
-    both = links.select("a", "b", "cosine").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    named = both.join(by.withColumnsRenamed({"doc_id": "a", "source": "slug"}), "a").join(by.withColumnsRenamed({"doc_id": "b", "source": "other"}), "b").where("slug <> other")
-    best = named.groupBy("slug", "other").agg(F.round(F.max("cosine"), 4).alias("score"))
+def nearest_works(docs: DataFrame, least: float = LEAST_COSINE, top: int = 4, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """(slug, other, score, rank): works by their best pair of documents."""
+    kept = tokenized(docs).where(F.size("tokens") >= least_tokens)
+    best = blocks.labelled(weights(kept), labelled(docs), least, docs.count()).groupBy("slug", "other").agg(F.round(F.max("cosine"), 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("score"), "other"))
     return best.withColumn("rank", rank).where(F.col("rank") <= top)
