@@ -169,3 +169,18 @@ def test_containing_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(search, "SHORT_NEEDLES", 1)
     with pytest.raises(EngineError):
         search.containing(d, n, "id")
+
+
+def test_spread_of_many_rows(spark):
+    """Places fit the rows whatever the partitions; equal keys and nulls (last) have places too."""
+    from folio.operators import evals
+
+    many = 300_000
+    df = spark.range(0, many, 1, 9).selectExpr("pmod(id * 7919, 300000) as k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as for a table too large for one partition
+    try:
+        assert sorted((r.k, r.place) for r in evals.spread(df, "k", 7).collect()) == [(i * many // 7,) * 2 for i in range(7)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    few = spark.createDataFrame([(k,) for k in [5] * 6 + [9] + [None] * 3], "k long")
+    assert [(r.k, r.place) for r in evals.spread(few, "k", 5).orderBy("place").collect()] == [(5, 0), (5, 2), (5, 4), (9, 6), (None, 8)]
