@@ -226,7 +226,7 @@ def gaps(sliced: DataFrame) -> DataFrame:
     return span.select("doc", F.explode(F.sequence("a", "b")).alias("chapter")).join(sliced.select("doc", "chapter"), ["doc", "chapter"], "left_anti")
 
 
-def validated(bodies: DataFrame, source: DataFrame, sliced: DataFrame, kept: DataFrame, least_chars: int = 20) -> DataFrame:
+def validated(bodies: DataFrame, source: DataFrame, sliced: DataFrame, kept: DataFrame, least_chars: int = 20, separator: str = r"\n[ \t]*\n+") -> DataFrame:
     """(doc, validator, severity, detail). source: native markers; kept: markers of the slices; sliced: the slices."""
     def issues(df: DataFrame, validator: str, severity: str, detail: Column) -> DataFrame:
         return df.select("doc", F.lit(validator).alias("validator"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
@@ -236,8 +236,9 @@ def validated(bodies: DataFrame, source: DataFrame, sliced: DataFrame, kept: Dat
     out = issues(source.select(*keys).distinct().join(kept, keys, "left_anti"), "marker-preservation", "error", key)
     out = out.unionByName(issues(kept.select(*keys).distinct().join(source, keys, "left_anti"), "marker-preservation", "error", key))
     out = out.unionByName(issues(kept.groupBy(*keys).count().where("count > 1"), "no-marker-duplication", "error", key))
-    sizes = sliced.groupBy("doc").agg(F.sum(F.length("content")).alias("n")).join(bodies, "doc")
-    lost = F.length("body") - F.col("n")
+    # What parts paragraphs is no content: it counts as one blank line, also where a slice ends.
+    sizes = sliced.groupBy("doc").agg((F.sum(F.length("content") + 2) - 2).alias("n")).join(bodies, "doc")
+    lost = F.length(F.regexp_replace("body", separator, "\n\n")) - F.col("n")
     out = out.unionByName(issues(sizes.where(F.abs(lost) > F.greatest(F.lit(50), F.ceil(F.length("body") * 0.005))), "content-conservation", "error", lost))
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     joined = sliced.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chapter", "content"))), lambda x: x["content"]), "\n\n").alias("again")).join(bodies, "doc")
