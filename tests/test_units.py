@@ -194,3 +194,34 @@ def test_ends_of_many_slices_are_no_loss(spark):
     s = ingest.slices(b, kept)
     assert ingest.validated(b, source, s, kept).collect() == []
     assert ("content-conservation", "98") in {(r.validator, r.detail) for r in ingest.validated(b, source, s.where("chapter <> 7"), kept).collect()}
+
+
+def most_rows(df):
+    """The rows that the plan node with most of them made."""
+    df.collect()
+
+    def walk(p):
+        while hasattr(p, "executedPlan") and p.nodeName() == "AdaptiveSparkPlan" or "QueryStage" in p.nodeName():
+            p = p.executedPlan() if p.nodeName() == "AdaptiveSparkPlan" else p.plan()
+        m = p.metrics().get("numOutputRows")
+        own = [m.get().value()] if m.isDefined() else []
+        return max(own + [walk(p.children().apply(k)) for k in range(p.children().size())], default=0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_burrows_delta_rows_grow_with_the_words(spark):
+    """As brute force; a chapter does not meet all words of its work."""
+    rng = np.random.default_rng(2)
+    rows = [(d, f"src{d % 2}", [f"own{d}x{k}" for k in range(60)] + [f"c{k}" for k in rng.geometric(0.1, 40)]) for d in range(80)] + [(80, "src2", ["alone"]), (81, "src1", [])]
+    toks = spark.createDataFrame(rows, "doc_id long, source string, tokens array<string>")
+    df = signatures.burrows_delta(toks, 20)
+    want = {}
+    for d, source, ts in rows:
+        others = [x for x in rows if x[1] == source and x[0] != d]
+        freq = {t: [x[2].count(t) / len(x[2]) if x[2] else 0.0 for x in others] for t in {t for x in others for t in x[2]}}
+        best = sorted(freq, key=lambda t: (-round(sum(freq[t]), 12), t))[:20]
+        z = [abs(((ts.count(t) / len(ts)) if ts else 0.0) - np.mean(freq[t])) / np.std(freq[t]) for t in best if np.std(freq[t]) > 1e-9]
+        want[d] = np.mean(z) if z else 0.0
+    assert {r.doc_id: r.delta for r in df.collect()} == {d: pytest.approx(v, abs=1e-4) for d, v in want.items()}
+    assert most_rows(df) < 30_000  # 80 chapters of about 70 words; the works have 2,400 words
