@@ -17,6 +17,8 @@ from folio.session import ship
 
 #: Rows in an Arrow batch of whole texts: bounds a Python worker's memory, long texts included.
 TEXT_BATCH = 1000
+#: Rows of ids that go into one file.
+FILE_ROWS = 50_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +91,15 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def files(spark: SparkSession, rows: int, each: int = FILE_ROWS) -> int:
+    """In how many files a table of about so many rows is written, so that no cores idle and none is of a few rows.
+
+    Without its native library Hadoop starts a process for each folder and file that a task writes (chmod). Until that
+    process is another program it shares the executor's memory, and whoever adds up processes counts it twice.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def arrow_append(df: DataFrame, schema: T.StructType, fn: Callable[[list[pa.Array]], dict], inputs: list[str], keep: list[str] | None = None) -> DataFrame:
     """Appends to the columns `keep` (all, if None) those that fn makes of the columns `inputs`, batch by batch.
 
@@ -118,14 +129,19 @@ def arrow_append(df: DataFrame, schema: T.StructType, fn: Callable[[list[pa.Arra
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, out)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Connected components of edges (u, v): one row (node, component) for each node of an edge, component its least node.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014). Each step is a minimum per node, which is combined
     before the shuffle, and a join that adaptive execution can split. A round's edges are written to the shared folder;
-    the driver sees a count and a checksum only.
+    the driver sees a count and a checksum only. rows: about how many edges there are; the files are then few.
     """
-    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+
+    def written(df: DataFrame, rows: int | None) -> DataFrame:
+        df = df.where("u <> v").distinct()
+        return materialize(df if rows is None else df.coalesce(files(df.sparkSession, rows)), "edges")
+
+    e = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), rows)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
@@ -142,7 +158,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        spent, e = e, materialize(star(star(e, True).where("u <> v").distinct(), False).where("u <> v").distinct(), "edges")
+        spent, e = e, written(star(star(e, True).where("u <> v").distinct(), False), None if rows is None else before[0])
         discard(spent)
         after = sign(e)
         if after == before:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import begin, components, discard, load, materialize, tune
+from folio.llm.common import begin, components, discard, files, load, materialize, tune
 
 WORDS, SHARE_OF, SHARE = 5, 100, 75  # linked when SHARE_OF * intersection >= SHARE * union
 #: Lowest hashes by which near copies find each other early, and how many they share; bound of the frequent shingles;
@@ -46,6 +46,8 @@ ROUNDS = 2
 #: Bytes of a posting (shingle, key, place), bytes of them that a bucket should hold, postings of a message to the buckets,
 #: entries that a bucket of the merge should hold.
 POSTING, BUCKET_BYTES, MESSAGE, ENTRIES = 18, 24_000_000, 500_000, 50_000
+#: Rows with sketches, and rows with whole sets, that go into one file.
+SKETCHED, WHOLE = 5_000, 2_000
 #: Bits of the filter by which documents that take part are picked; it is of this size whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -248,9 +250,13 @@ def picked(table: DataFrame, column: str, passes: Callable[[np.ndarray], np.ndar
     return table.withColumn("_at", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))).mapInArrow(run, kind)
 
 
-def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The linked ones of the pairs (u, v) of keys, a table that materialize wrote and that goes; the links are written."""
+def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame, rows: int) -> DataFrame:
+    """The linked ones of the pairs (u, v) of keys, a table that materialize wrote and that goes; the links are written.
+
+    rows: how many heads there are.
+    """
     spark = docs.sparkSession
+    few = files(spark, rows)
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("u", "v")).alias("key"))
@@ -282,14 +288,14 @@ def verified(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["u", "v"]).filter(ok)
 
     some = picked(heads.select("key", F.struct("n", "sketch").alias("s")), "key", chosen_by(spark, ends(pairs)))
-    left = materialize(both(pairs.select("u", "v"), some, "s").select("u", "v", "a", "b").mapInArrow(near, "u long, v long"), "pairs")
+    left = materialize(both(pairs.select("u", "v"), some, "s").select("u", "v", "a", "b").mapInArrow(near, "u long, v long").repartition(few), "pairs")
     discard(pairs)
     named = heads.join(ends(left).distinct(), "key", "left_semi").select("key", "node", "th")
-    named = materialize(named, "named")
+    named = materialize(named.repartition(few), "named")
     texts = picked(docs.select("doc_id", "th", "text"), "doc_id", chosen_by(spark, named.select("node")))
     texts = texts.join(named.withColumnRenamed("node", "doc_id"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).select("key", "text")
-    s = materialize(texts.mapInArrow(whole, "key long, set binary"), "sets")
-    out = materialize(both(left, s, "set").select("u", "v", "a", "b").mapInArrow(probed, "u long, v long"), "links")
+    s = materialize(texts.coalesce(files(spark, rows, WHOLE)).mapInArrow(whole, "key long, set binary"), "sets")
+    out = materialize(both(left, s, "set").select("u", "v", "a", "b").mapInArrow(probed, "u long, v long").repartition(few), "links")
     discard(s, left, named)
     return out
 
@@ -414,31 +420,35 @@ def starred(heads: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return both.where("a <> b").select("u", "v")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """From (doc_id, th, text), th a hash of text: seen, a row for each document; heads, one for each set (key, its least
-    doc_id as node, that row's th); and edges (u, v) between keys, which join all linked sets. Rows without a doc_id are in
-    seen only."""
+    doc_id as node, that row's th); edges (u, v) between keys, which join all linked sets; and the number of heads. Rows
+    without a doc_id are in seen only."""
+    spark = docs.sparkSession
     seen = materialize(first_pass(docs), "shingles")
     docs = docs.where("doc_id is not null and text is not null")
     rest = F.min(F.struct("doc_id", "th")).alias("least")
     heads = seen.where("key is not null and doc_id is not null").groupBy("key").agg(rest, F.first("n").alias("n"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
-    heads = materialize(heads.select("key", F.col("least.doc_id").alias("node"), F.col("least.th").alias("th"), "n", "low", "sketch"), "heads")
+    heads = heads.select("key", F.col("least.doc_id").alias("node"), F.col("least.th").alias("th"), "n", "low", "sketch")
+    heads = materialize(heads.coalesce(files(spark, seen.count(), SKETCHED)), "heads")
+    rows, total = heads.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = files(spark, rows)
     labels, edges = heads.select("key", "n", F.col("key").alias("component")), []
     for turn in range(ROUNDS):
-        early = verified(docs, heads, materialize(starred(heads, labels, turn), "stars"))
+        early = verified(docs, heads, materialize(starred(heads, labels, turn).repartition(few), "stars"), rows)
         edges.append(early)
-        joined = components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("node", "key")
+        joined = components(reduce(DataFrame.unionByName, edges), rows=rows).withColumnRenamed("node", "key")
         labels = heads.select("key", "n").join(joined, "key", "left").select("key", "n", F.coalesce("component", "key").alias("component"))
-    weights = materialize(joined.groupBy("component").agg(F.count(F.lit(1)).alias("weight")), "weights")  # of two keys or more
-    labels = materialize(labels.join(weights, "component", "left").select("key", "n", "component", F.coalesce("weight", F.lit(1)).alias("weight")), "labels")
+    weights = materialize(joined.groupBy("component").agg(F.count(F.lit(1)).alias("weight")).coalesce(few), "weights")  # of two keys or more
+    labels = labels.join(weights, "component", "left").select("key", "n", "component", F.coalesce("weight", F.lit(1)).alias("weight"))
+    labels = materialize(labels.repartition(few), "labels")
     heavy = seen.where("n < 0").select(F.inline("often")).groupBy("shingle").agg(F.sum("uses").alias("uses")).orderBy(F.desc("uses"), "shingle").limit(FREQUENT)
     often = np.array([r[0] for r in heavy.collect()], np.int64)
-    total = heads.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, int(total * POSTING * (SHARE_OF - SHARE) / SHARE_OF / BUCKET_BYTES))
     lists = materialize(short_lists(docs, often, buckets), "lists")
-    late = verified(docs, heads, materialize(merged(lists, labels, lists.count()), "candidates"))
+    late = verified(docs, heads, materialize(merged(lists, labels, lists.count()), "candidates"), rows)
     discard(lists, labels, weights)
-    return seen.where("n >= 0").select("doc_id", "th", "n", "key"), heads, reduce(DataFrame.unionByName, [*edges, late])
+    return seen.where("n >= 0").select("doc_id", "th", "n", "key"), heads, reduce(DataFrame.unionByName, [*edges, late]), rows
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -447,12 +457,12 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each document (doc_id, text); the component is its least doc_id."""
-    seen, heads, edges = links(hashed(docs))
+    seen, heads, edges, rows = links(hashed(docs))
     node = heads.select("key", "node")
     ends = edges.join(node.select(F.col("key").alias("u"), F.col("node").alias("a")), "u").join(node.select(F.col("key").alias("v"), F.col("node").alias("b")), "v")
     # Rows of one doc_id are one node: it is joined with the nodes of all its sets.
     own = seen.where("key is not null and doc_id is not null").select("doc_id", "key").distinct().join(node, "key").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    final = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(own))
+    final = components(ends.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(own), rows=rows)
     out = seen.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -463,8 +473,8 @@ def leaders(docs: DataFrame) -> DataFrame:
     th is xxhash64(text). Groups are of texts: rows that share a doc_id only are not of one group. Rows without a doc_id
     are left out.
     """
-    seen, heads, edges = links(hashed(docs))
-    final = components(edges).withColumnRenamed("node", "key")
+    seen, heads, edges, rows = links(hashed(docs))
+    final = components(edges, rows=rows).withColumnRenamed("node", "key")
     groups = heads.select("key", "node", "th").join(final, "key", "left").select(F.coalesce("component", "key").alias("component"), F.struct("node", "th").alias("row"))
     best = groups.groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.node").alias("doc_id"), "row.th")
     return best.unionByName(seen.where("key is null and doc_id is not null").select("doc_id", "th").distinct())

@@ -314,6 +314,30 @@ def test_ngram_join_of_repeated_ids_and_long_lists(spark, monkeypatch):
     assert kept == [1, 2, 7]
 
 
+def test_ngram_join_writes_few_files_of_many_partitions(spark, monkeypatch):
+    written, plain = [], common.materialize
+
+    def counted(df, label):
+        out = plain(df, label)
+        written.append((label, len(out.inputFiles())))
+        return out
+
+    for module in (ngram_join, common):
+        monkeypatch.setattr(module, "materialize", counted)
+    rows = [(10 * g + c, " ".join(f"g{g}w{i}" for i in range(c, 40))) for g in range(60) for c in range(4)]
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == jaccard_components(rows)
+    few = spark.sparkContext.defaultParallelism
+    assert {label for label, _ in written} >= {"heads", "stars", "pairs", "named", "sets", "links", "edges", "weights", "labels"}
+    assert [x for x in written if x[0] not in ("lists", "candidates") and x[1] > few] == []
+
+
 # -- 7 ------------------------------------------------------------------------------------------------------------------
 
 
