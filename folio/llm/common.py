@@ -60,6 +60,11 @@ def begin(owner: str) -> None:
     _working[0] = owner
     for other in [o for o in _caches if o != owner]:
         _caches.pop(other)()
+    give_back()
+
+
+def give_back() -> None:
+    """Called in a Python worker: memory that is free goes back to the system, for whatever runs beside."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it

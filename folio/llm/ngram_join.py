@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import begin, components, discard, files, load, materialize, tune
+from folio.llm.common import begin, components, discard, files, give_back, load, materialize, tune
 
 WORDS, SHARE_OF, SHARE = 5, 100, 75  # linked when SHARE_OF * intersection >= SHARE * union
 #: Lowest hashes by which near copies find each other early, and how many they share; bound of the frequent shingles;
@@ -215,6 +215,8 @@ def first_pass(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, SEEN, strict=True)], schema=SEEN)
         if size:
             yield repeated()
+        held = []
+        give_back()
 
     return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, key long, low array<bigint>, sketch binary, often array<struct<shingle:bigint,uses:bigint>>")
 
@@ -336,9 +338,12 @@ def short_lists(docs: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
                     held, size = {}, 0
         if size:
             yield messages([*held.items()])
+        held = {}
+        give_back()
 
     def several(key: tuple, table: pa.Table) -> pa.Table:
         begin("ngram_join")
+        give_back()  # of the group before
         shingle, owner, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("shingle", np.int64), ("key", np.int64), ("place", np.uint32)))
         order = np.lexsort((owner, shingle))
         shingle, owner, place = shingle[order], owner[order], place[order]
@@ -381,6 +386,7 @@ def merged(lists: DataFrame, labels: DataFrame, entries: int) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         begin("ngram_join")
+        give_back()  # of the group before
         shingle, part = (table.column(c).to_numpy() for c in ("shingle", "part"))
         rest = flat(shingle, table.column("others"))
         rest = rest[np.argsort(rest[:, 0], kind="stable")]
