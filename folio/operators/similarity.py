@@ -60,6 +60,6 @@ def skipped(docs: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
 def nearest_works(docs: DataFrame, least: float = LEAST_COSINE, top: int = 4, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(slug, other, score, rank): works by their best pair of documents."""
     kept = tokenized(docs).where(F.size("tokens") >= least_tokens)
-    best = blocks.labelled(weights(kept), labelled(docs), least, docs.count()).groupBy("slug", "other").agg(F.round(F.max("cosine"), 4).alias("score"))
+    best = blocks.labelled(blocks.Blocks(weights(kept), docs.count(), labelled(docs)), least).groupBy("slug", "other").agg(F.round(F.max("cosine"), 4).alias("score"))
     rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("score"), "other"))
     return best.withColumn("rank", rank).where(F.col("rank") <= top)
