@@ -8,9 +8,12 @@ from pyspark.sql.window import Window
 
 from folio.functions import text as tx
 from folio.operators import blocks
+from folio.session import stored
 
 #: A link's least cosine, links of a document, tokens below which a document is left out.
 LEAST_COSINE, LINKS, LEAST_TOKENS = 0.05, 5, 50
+#: Least cosines that are tried first for works.
+FLOORS = (0.9, 0.5)
 
 
 def tokenized(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -58,8 +61,20 @@ def skipped(docs: DataFrame, least_tokens: int = LEAST_TOKENS) -> DataFrame:
 
 
 def nearest_works(docs: DataFrame, least: float = LEAST_COSINE, top: int = 4, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """(slug, other, score, rank): works by their best pair of documents."""
+    """(slug, other, score, rank): works by their best pair of documents.
+
+    A higher least cosine is tried first, which meets far fewer pairs: if each work has `top` others beyond it, no pair below can count.
+    """
     kept = tokenized(docs).where(F.size("tokens") >= least_tokens)
-    best = blocks.labelled(blocks.Blocks(weights(kept), docs.count(), labelled(docs)), least).groupBy("slug", "other").agg(F.round(F.max("cosine"), 4).alias("score"))
+    labels = labelled(docs)
+    met = blocks.Blocks(weights(kept), docs.count(), labels)
+    works = labels.where("label is not null").select("label").distinct().count()
     rank = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("score"), "other"))
+    for floor in (*(x for x in FLOORS if x > least), least):
+        found = blocks.labelled(met, floor)
+        found = stored(found, "works") if floor > least else found
+        best = found.groupBy("slug", "other").agg(F.round(F.max("cosine"), 4).alias("score"))
+        beyond = best.where(F.col("score") > floor + 1e-4).groupBy("slug").count().where(F.col("count") >= min(top, works - 1))
+        if floor > least and beyond.count() == works:
+            break
     return best.withColumn("rank", rank).where(F.col("rank") <= top)
